@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, packing, quality
+from lodestone.llm import bpe, chat, exact_dedup, packing, quality, suffix_array, suffix_tree, token_count, toxicity
 from lodestone.llm.common import documents
 
 
@@ -20,33 +21,81 @@ def tokenizer(name: str) -> str:
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op2_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.remove_repeated_words(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeated_bytes(documents(spark, sf_dir)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer(BYTE_BPE))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.pair_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(documents(spark, sf_dir), tokenizer(PIECE_MODEL))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, sf_dir), tokenizer(BYTE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_tree": op2_substring_tree,
         "op3_quality_rules": op3_quality_rules,
+        "op4_toxicity": op4_toxicity,
+        "op5_suffix_array": op5_suffix_array,
         "op6_bpe": op6_bpe,
+        "op7_preference_format": op7_preference_format,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_token_counts": op9_token_counts,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_preference_format": """
+            WITH t AS (
+                SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'rejected' ELSE 'chosen' END AS side, turn,
+                       coalesce(role, '') AS role, coalesce(text, '') AS text
+                FROM conversations),
+            turns AS (
+                SELECT pair_id, turn,
+                       list_sort(list([role, text]) FILTER (side = 'chosen')) AS c, list_sort(list([role, text]) FILTER (side = 'rejected')) AS r
+                FROM t GROUP BY ALL),
+            splits AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS split FROM turns GROUP BY ALL),
+            parts AS (
+                SELECT t.*, split IS NULL OR turn < split AS is_prompt,
+                       '<|im_start|>' || role || chr(10) AS header
+                FROM t JOIN splits USING (pair_id))
+            SELECT pair_id, CASE WHEN is_prompt THEN 'prompt' ELSE side END AS part, turn, role,
+                   header || text || '<|im_end|>' || chr(10) AS rendered,
+                   CASE WHEN NOT is_prompt AND role = 'assistant' THEN length(header) ELSE 0 END AS loss_start,
+                   CASE WHEN NOT is_prompt AND role = 'assistant' THEN length(header || text || '<|im_end|>' || chr(10)) ELSE 0 END AS loss_end
+            FROM parts WHERE NOT is_prompt OR side = 'chosen'""",
         "op8_exact_dedup": """
             WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
