@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, exact_dedup, packing, quality, suffix_array, suffix_tree, token_count, toxicity
+from lodestone.llm import bpe, chat, exact_dedup, minhash, packing, quality, suffix_array, suffix_tree, token_count, toxicity
 from lodestone.llm.common import documents
 
 
@@ -24,6 +24,10 @@ BYTE_BPE = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.remove_repeated_words(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -63,6 +67,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_forest": op1_minhash_forest,
         "op2_substring_tree": op2_substring_tree,
         "op3_quality_rules": op3_quality_rules,
         "op4_toxicity": op4_toxicity,
