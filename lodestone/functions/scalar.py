@@ -104,11 +104,12 @@ def bbox(xyz: Column) -> Column:
     return F.when(F.size(xyz) >= 3, F.array(*(F.array_min(axis(k)) for k in range(3)), *(F.array_max(axis(k)) for k in range(3))))
 
 
-def decimate(xyz: Column, most: int) -> Column:
-    """Every n-th point, so that no more than ``most`` stay."""
+def decimate(xyz: Column, most: int = 4000) -> Column:
+    """Every n-th point, n = points // most, and ``most`` points at most; all of them if they are no more than that."""
     points = F.floor(F.size(xyz) / 3)
-    step = F.greatest(F.lit(1), F.ceil(points / most))
-    return F.filter(xyz, lambda x, i: (F.floor(i / 3) % step == 0) & (i < points * 3))
+    step = F.greatest(F.lit(1), F.floor(points / most))
+    thin = F.slice(F.filter(xyz, lambda x, i: (F.floor(i / 3) % step == 0) & (i < points * 3)), 1, most * 3)
+    return F.when(points <= most, xyz).otherwise(thin)
 
 
 def escape_html(text: Column) -> Column:
