@@ -43,3 +43,110 @@ def text_to(target: str, text: Column, name: Column) -> Column:
 
 def obj_lines(x: Column, y: Column, z: Column) -> Column:
     return F.format_string("v %.6f %.6f %.6f", x, y, z)
+
+
+def _report(content: dict) -> bytes:
+    import json
+
+    return json.dumps({k: v for k, v in content.items() if k not in ("text", "raw", "raw_text", "preview_positions")}, indent=2, ensure_ascii=False, default=str).encode()
+
+
+def export_bytes(content: dict, blobs: dict, data: bytes, name: str, fmt: str, target: str) -> bytes:
+    """The object as a file of the target format; ValueError says why not."""
+    import html
+    import json
+
+    import numpy as np
+
+    from lodestone.operators.catalog import refusal
+    from lodestone.parsers import images, meshes, structured, texts
+
+    if why := refusal(fmt, target):
+        raise ValueError(why)
+    text = content.get("text") or content.get("raw_text") or ""
+    raw = content.get("raw") or text
+    if fmt in images.DECODERS or fmt == "gif":
+        px = images.pixels_of(data, fmt) if not content.get("pixels") else np.frombuffer(blobs[content["pixels"]["__blob__"]], np.uint8).reshape(content["height"], content["width"], 4)
+        return images.ENCODERS[target](px)
+    if fmt in ("jpeg", "webp", "tiff"):
+        raise ValueError(f"{fmt} has no decoder here")
+    if fmt in ("obj", "stl", "gltf", "glb") and target in ("obj", "stl") and target != fmt:
+        if fmt == "obj":
+            return meshes.encode_stl(meshes.obj_triangles(data.decode("utf-8", "replace")))
+        points = meshes.stl_triangles(data) if fmt == "stl" else np.array(content.get("preview_positions", [])).reshape(-1, 3)[: len(content.get("preview_positions", [])) // 9 * 3].reshape(-1, 3, 3)
+        return meshes.encode_obj(points)
+    if fmt == "csv" and target == "json":
+        rows = [{c: (r[k] if k < len(r) else "") for k, c in enumerate(content["columns"])} for r in content["rows"]]
+        return json.dumps(rows, indent=2, ensure_ascii=False).encode()
+    if fmt in ("json", "yaml", "toml", "bson") and target in ("json", "yaml", "toml", "csv") and target != fmt or (fmt, target) == ("json", "json"):
+        tree = content.get("data")
+        made = {"json": structured.pretty, "yaml": structured.to_yaml, "toml": structured.to_toml, "csv": structured.to_csv}[target](tree)
+        if made is None:
+            raise ValueError(f"this data cannot be written as {target}")
+        return made.encode()
+    if target == "sql":
+        return "\n\n".join(f"{r['sql']};" for r in content.get("schema", []) if r.get("sql")).encode()
+    if fmt == "wav" and target == "txt":
+        return json.dumps(content.get("peaks", [])).encode()
+    if target == "json":
+        return _report(content["entries"] if fmt in ("zip", "tar", "gzip") and isinstance(content.get("entries"), dict) else content)
+    if target == "rtf":
+        return texts.write_rtf(text)
+    if target == "html":
+        title = html.escape(name or "Document")
+        if fmt == "html":
+            return raw.encode()
+        body = texts.markdown_html(text) if fmt == "md" else "".join(f"<p>{html.escape(p)}</p>" for p in content["paragraphs"]) if content.get("paragraphs") else f"<pre>{html.escape(text)}</pre>"
+        return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body>{body}</body></html>".encode()
+    if target == "md":
+        return text.encode() if fmt == "md" else f"# {name or 'Document'}\n\n```\n{text}\n```\n".encode()
+    if target == "txt":
+        if fmt in ("pe", "elf", "blob", "empty"):
+            from lodestone.parsers.database import hex_lines
+
+            return (hex_lines(data) + ("\n\n" + _report(content).decode() if fmt in ("pe", "elf") else "")).encode()
+        return (raw if fmt in ("svg", "json", "yaml", "toml") else text).encode()
+    edited = blobs.get("edited_bytes")
+    return edited if edited is not None else data
+
+
+def export_objects(objects: DataFrame, target: str) -> DataFrame:
+    """object_id, data, filename, mime, kind, refusal of each object as a ``target`` file; history grows by one row but for containers.
+
+    A conversion that doesn't exist or can't be done is a row with its refusal.
+    """
+    import json
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from lodestone.functions.scalar import stem
+    from lodestone.model import EXPORTS, FORMATS
+    from lodestone.operators.graph import record
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    made = export_bytes(json.loads(row["content"] or "{}"), dict(row["blobs"] or []), row["original_bytes"] or b"", row["original_filename"] or "", row["detected_format"], target)
+                    out.append((row["object_id"], made, None))
+                except Exception as error:
+                    out.append((row["object_id"], None, str(error) or type(error).__name__))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string()))], names=["object_id", "data", "refusal"])
+
+    if target == "sfp":
+        from lodestone.sources.files import to_containers
+
+        made = to_containers(objects).select("object_id", F.col("container").alias("data"), F.lit(None).cast("string").alias("refusal"))
+    else:
+        made = objects.select("object_id", "content", "blobs", "original_bytes", "original_filename", "detected_format").mapInArrow(run, "object_id string, data binary, refusal string")
+    extension = FORMATS[target].extension.split(",")[0] if target in FORMATS else target
+    kinds = F.create_map(*(x for f, edges in EXPORTS.items() for x in (F.lit(f), F.lit(dict(edges).get(target, "")))))
+    kind = F.nullif(kinds[F.col("detected_format")], F.lit(""))
+    history = record(F.col("history"), f"export:{target}", F.lit(f"exported as {target}"), "LOSSLESS")
+    named = objects.select(
+        "object_id", F.concat(stem(F.col("original_filename")), F.lit("." + (extension or "bin"))).alias("filename"), F.lit(FORMATS[target].mime if target in FORMATS else "text/plain").alias("mime"), kind.alias("kind"),
+        (F.col("history") if target == "sfp" else history).alias("history"),
+    )
+    return named.join(made, "object_id")

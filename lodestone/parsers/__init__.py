@@ -67,3 +67,11 @@ def _finite(value) -> bool:
     except ValueError:
         return False
     return True
+
+
+def pieces(batches, most_bytes: int = 8 << 20):
+    """Record batches cut so that none holds much more than ``most_bytes`` (one file may)."""
+    for batch in batches:
+        n = max(1, min(batch.num_rows, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)) + 1))
+        for k in range(0, batch.num_rows, n):
+            yield batch.slice(k, n)

@@ -71,21 +71,18 @@ def parse_objects(objects: DataFrame, column: str = "original_bytes") -> DataFra
     """objects with content (JSON), warnings, support_level, blobs and kids: the Arrow stage, a batch of few files at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lodestone.parsers import parse, to_json
-
-        keys = None
-        for batch in batches:
-            keys = keys or [n for n in batch.schema.names if not n.startswith("__")]
-            for k in range(batch.num_rows):
-                part = batch.slice(k, 1)
-                data, name, fmt = (part.column(c)[0].as_py() for c in ("__data", "__name", "__format"))
-                got = parse(data, name, fmt)
-                columns = [part.column(c) for c in keys] + [
-                    pa.array([to_json(got.content)], pa.string()), pa.array([got.warnings], pa.list_(pa.string())), pa.array([got.support], pa.string()),
-                    pa.array([list(got.blobs.items())], pa.map_(pa.string(), pa.binary())),
-                    pa.array([[{"name": n, "data": d, "relation": r} for n, d, r in got.children]], pa.list_(pa.struct([("name", pa.string()), ("data", pa.binary()), ("relation", pa.string())]))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "content", "warnings", "support_level", "blobs", "kids"])
+        from lodestone.parsers import parse, pieces, to_json
+
+        kid = pa.struct([("name", pa.string()), ("data", pa.binary()), ("relation", pa.string())])
+        for part in pieces(batches):
+            keys = [n for n in part.schema.names if not n.startswith("__")]
+            got = [parse(*row) for row in zip(*(part.column(c).to_pylist() for c in ("__data", "__name", "__format")))]
+            columns = [part.column(c) for c in keys] + [
+                pa.array([to_json(g.content) for g in got], pa.string()), pa.array([g.warnings for g in got], pa.list_(pa.string())), pa.array([g.support for g in got], pa.string()),
+                pa.array([list(g.blobs.items()) for g in got], pa.map_(pa.string(), pa.binary())),
+                pa.array([[{"name": n, "data": d, "relation": r} for n, d, r in g.children] for g in got], pa.list_(kid)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "content", "warnings", "support_level", "blobs", "kids"])
 
     rest = objects.drop("support_level", "content", "warnings", "blobs", "kids")
     given = rest.select("*", F.col(column).alias("__data"), F.col("original_filename").alias("__name"), F.col("detected_format").alias("__format"))
