@@ -174,10 +174,9 @@ def zip_kind(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else kind_of_zip(bytes(d)))
 
 
-def signature_branches(data: Column, name: Column) -> list[tuple[Column, Column]]:
+def signature_branches(s: Column) -> list[tuple[Column, Column]]:
     out = []
-    is_zip = F.hex(F.substring(data, 1, 4)).isin("504B0304", "504B0506")
-    inside = zip_kind(F.when(is_zip, data))
+    data, inside = s["data"], s["zip"]
     for digits, fmt, display, mime, ext, family in rows(_SIGNATURES):
         size = len(digits) // 2
         hit = F.substring(data, 1, size) == F.lit(bytes.fromhex(digits))
@@ -199,7 +198,7 @@ def signature_branches(data: Column, name: Column) -> list[tuple[Column, Column]
                 .otherwise(found(fmt, display, mime, ext, 0.8, "magic", F.concat(F.lit("RIFF form: "), form), family))
             )
             out.append((hit & (F.length(data) >= 12), riff))
-            out.append((hit, unknown(name)))
+            out.append((hit, unknown(s)))
         elif fmt == "ebml":
             head = latin(F.substring(data, 1, 4096))
             ebml = (
@@ -213,8 +212,8 @@ def signature_branches(data: Column, name: Column) -> list[tuple[Column, Column]
     return out
 
 
-def unknown(name: Column) -> Column:
-    return found("blob", "Unknown binary", "application/octet-stream", extension(name), 0.3, "extension", "no signature matched — preserved as raw bytes", "BINARY")
+def unknown(s: Column) -> Column:
+    return found("blob", "Unknown binary", "application/octet-stream", s["ext"], 0.3, "extension", "no signature matched — preserved as raw bytes", "BINARY")
 
 
 def media_brand(data: Column) -> Column:
@@ -226,11 +225,12 @@ def media_brand(data: Column) -> Column:
     return out
 
 
-def executable(data: Column, name: Column) -> Column:
+def executable(s: Column) -> Column:
+    data = s["data"]
     at = unsigned(data, 0x3C, 4)
     real = (F.length(data) > 0x40) & (at > 0) & (at < F.length(data) - 4) & (data.substr((at + 1).cast("int"), F.lit(4)) == F.lit(b"PE\x00\x00"))
     mime = "application/vnd.microsoft.portable-executable"
-    ext = F.when(extension(name) == "dll", "dll").otherwise("exe")
+    ext = F.when(s["ext"] == "dll", "dll").otherwise("exe")
     return F.when(real, found("pe", "PE executable", mime, ext, 0.99, "magic", "MZ + PE\\0\\0 signature", "EXECUTABLE")).otherwise(
         found("pe", "PE executable", mime, "exe", 0.9, "magic", "MZ DOS stub", "EXECUTABLE")
     )
@@ -256,13 +256,11 @@ def text_sample(data: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(head.cast("string")), latin(head))
 
 
-def text_branches(data: Column, name: Column) -> list[tuple[Column, Column]]:
+def text_branches(s: Column) -> list[tuple[Column, Column]]:
     """The branches for bytes that look like text; the last always holds."""
-    _, sure = looks_like_text(data)
-    sample, ext = text_sample(data), extension(name)
-    body = F.regexp_replace(sample, r"(?U)^\s+", "")
+    sure, sample, ext, body = s["sure"], s["sample"], s["ext"], s["body"]
     first = lambda n: F.substring(sample, 1, n)
-    line = F.substring_index(sample, "\n", 1)
+    line = s["line"]
     within = lambda *e: ext.isin(*e)
     starts = lambda s: F.startswith(body, F.lit(s))
     cap = lambda most: F.least(F.lit(most), sure)
@@ -298,13 +296,13 @@ def text_branches(data: Column, name: Column) -> list[tuple[Column, Column]]:
     return out
 
 
-def by_extension(name: Column) -> Column:
+def by_extension(s: Column) -> Column:
     """The extension's format with confidence 0.4, else unknown; one map lookup."""
-    ext = extension(name)
+    ext = s["ext"]
     table = F.create_map(*(x for e, r in EXTENSIONS.items() for x in (F.lit(e), F.array(*map(F.lit, r)))))
     hit = F.try_element_at(table, ext)
     notes = "extension match only (no strong signature)"
-    return F.when(hit.isNull(), unknown(name)).otherwise(found(hit[0], hit[1], hit[2], ext, 0.4, "extension", notes, hit[3]))
+    return F.when(hit.isNull(), unknown(s)).otherwise(found(hit[0], hit[1], hit[2], ext, 0.4, "extension", notes, hit[3]))
 
 
 def ladder(branches: list[tuple[Column, Column]]) -> Column:
@@ -314,17 +312,31 @@ def ladder(branches: list[tuple[Column, Column]]) -> Column:
     return out
 
 
-def detect(data: Column, name: Column) -> Column:
-    """Struct column of the detection of ``data`` (binary) under the file name ``name``. Null data counts as empty."""
-    data, name = F.coalesce(data, F.lit(b"")), F.coalesce(name, F.lit(""))
-    n = F.length(data)
+def facts(data: Column, name: Column) -> Column:
+    """What the branches look at, computed once a row."""
+    is_zip = F.hex(F.substring(data, 1, 4)).isin("504B0304", "504B0506")
+    ok, sure = looks_like_text(data)
+    sample = text_sample(data)
+    return F.struct(
+        data.alias("data"),
+        extension(name).alias("ext"),
+        zip_kind(F.when(is_zip, data)).alias("zip"),
+        ok.alias("ok"),
+        sure.alias("sure"),
+        sample.alias("sample"),
+        F.regexp_replace(sample, r"(?U)^\s+", "").alias("body"),
+        F.substring_index(sample, "\n", 1).alias("line"),
+    )
+
+
+def branches(s: Column) -> list[tuple[Column, Column]]:
+    data, n = s["data"], F.length(s["data"])
     tar = (n > 262) & (F.substring(data, 258, 5) == F.lit(b"ustar"))
     triangles = unsigned(data, 80, 4)
     first, second = unsigned(data, 0, 1), unsigned(data, 1, 1)
-    is_text, _ = looks_like_text(data)
-    branches = [(n == 0, found("empty", "Empty file", "application/x-empty", extension(name), 1.0, "magic", "zero-byte file", "BINARY"))]
-    branches += signature_branches(data, name)
-    branches += [
+    return [
+        (n == 0, found("empty", "Empty file", "application/x-empty", s["ext"], 1.0, "magic", "zero-byte file", "BINARY")),
+        *signature_branches(s),
         ((n >= 12) & (F.substring(data, 5, 4) == F.lit(b"ftyp")), media_brand(data)),
         (tar, found("tar", "TAR archive", "application/x-tar", "tar", 0.95, "magic", "ustar magic at offset 257", "ARCHIVE")),
         (
@@ -335,17 +347,26 @@ def detect(data: Column, name: Column) -> Column:
             (n < 200_000_000) & (triangles > 0) & (triangles * 50 + 84 == n),
             found("stl", "STL mesh (binary)", "model/stl", "stl", 0.95, "magic", "binary STL triangle table matches file size", "3D"),
         ),
-        (F.substring(data, 1, 2) == F.lit(b"MZ"), executable(data, name)),
+        (F.substring(data, 1, 2) == F.lit(b"MZ"), executable(s)),
         ((n > 2) & (first == 255) & (second.bitwiseAND(0xF6) == 0xF0), found("aac", "AAC audio (ADTS)", "audio/aac", "aac", 0.7, "magic", "ADTS syncword", "AUDIO")),
         ((n > 4) & (first == 255) & (second.bitwiseAND(0xE0) == 0xE0), found("mp3", "MP3 audio (MPEG frame)", "audio/mpeg", "mp3", 0.7, "magic", "MPEG audio frame sync", "AUDIO")),
         (
             n.between(5, 16_000_000) & (unsigned(data, 0, 4) == n) & (data.substr(n, F.lit(1)) == F.lit(b"\x00")),
             found("bson", "BSON document", "application/bson", "bson", 0.6, "text-heuristic", "BSON document length prefix", "TEXT"),
         ),
-        (is_text, ladder(text_branches(data, name))),
-        (F.lit(True), by_extension(name)),
+        (s["ok"], ladder(text_branches(s))),
+        (F.lit(True), by_extension(s)),
     ]
-    return ladder(branches)
+
+
+def detect(data: Column, name: Column) -> Column:
+    """Struct column of the detection of ``data`` (binary) under the file name ``name``. Null data counts as empty.
+
+    The ladder is the body of a lambda over the facts, so each of them appears (and is computed) once; written out
+    at every use, the expression would take seconds to plan and compile.
+    """
+    data, name = F.coalesce(data, F.lit(b"")), F.coalesce(name, F.lit(""))
+    return F.transform(F.array(facts(data, name)), lambda s: ladder(branches(s)))[0]
 
 
 def magic_report(data: Column, name: Column) -> Column:

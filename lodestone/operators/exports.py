@@ -88,8 +88,10 @@ def export_bytes(content: dict, blobs: dict, data: bytes, name: str, fmt: str, t
         return "\n\n".join(f"{r['sql']};" for r in content.get("schema", []) if r.get("sql")).encode()
     if fmt == "wav" and target == "txt":
         return json.dumps(content.get("peaks", [])).encode()
-    if target == "json":
-        return _report(content["entries"] if fmt in ("zip", "tar", "gzip") and isinstance(content.get("entries"), dict) else content)
+    if fmt in ("zip", "tar", "gzip") and target == "json":
+        return json.dumps(content.get("entries", []), indent=2, ensure_ascii=False).encode()
+    if target == "json" and fmt != "sfp":
+        return _report(content)
     if target == "rtf":
         return texts.write_rtf(text)
     if target == "html":
@@ -100,6 +102,8 @@ def export_bytes(content: dict, blobs: dict, data: bytes, name: str, fmt: str, t
         return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body>{body}</body></html>".encode()
     if target == "md":
         return text.encode() if fmt == "md" else f"# {name or 'Document'}\n\n```\n{text}\n```\n".encode()
+    if fmt == "sfp" and target in ("json", "txt"):
+        return json.dumps(content.get("manifest", []), indent=2, ensure_ascii=False).encode() if target == "json" else content.get("tree", "").encode()
     if target == "txt":
         if fmt in ("pe", "elf", "blob", "empty"):
             from lodestone.parsers.database import hex_lines

@@ -37,9 +37,9 @@ def reader(*formats: str) -> Callable[[Reader], Reader]:
 
 
 def load() -> dict[str, Reader]:
-    from lodestone.parsers import archives, audio, binaries, database, documents, images, meshes, structured, texts, video
+    from lodestone.parsers import archives, audio, binaries, containers, database, documents, images, meshes, structured, texts, video
 
-    del archives, audio, binaries, database, documents, images, meshes, structured, texts, video
+    del archives, audio, binaries, containers, database, documents, images, meshes, structured, texts, video
     return READERS
 
 

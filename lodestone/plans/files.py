@@ -178,3 +178,78 @@ def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = sealed.select("object_id", crypto.is_encrypted(F.col("container")).alias("sealed"), (~F.contains(F.decode("container", "ISO-8859-1"), F.lit("original_filename"))).alias("hidden"))
     got = opened.select(F.col("container_id").alias("object_id"), F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), F.sha2("original_bytes", 256).alias("checksum"))
     return got.join(facts, "object_id").select("doc_id", "sealed", "hidden", "checksum")
+
+
+@query("SELECT i AS id, true AS png, true AS bmp, true AS gif FROM range(24) r(i)")
+def image_roundtrips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rasters encoded and decoded again; GIF shows the same where the colours fit its palette."""
+
+    @F.pandas_udf("png boolean, bmp boolean, gif boolean")
+    def same(ids: pd.Series) -> pd.DataFrame:
+        from lodestone.operators.creators import pattern
+        from lodestone.parsers import images
+
+        rows = []
+        for i in ids:
+            px = pattern(("gradient", "checker", "plasma")[i % 3], 8 + i, 5 + i)
+            few = pattern("checker", 8 + i, 5 + i)
+            rows.append((bool((images.decode_png(images.encode_png(px)) == px).all()), bool((images.decode_bmp(images.encode_bmp(px)) == px).all()), bool((images.decode_gif(images.encode_gif([few]))["frames"][0]["canvas"] == few).all())))
+        return pd.DataFrame(rows, columns=["png", "bmp", "gif"])
+
+    return spark.range(24).select("id", same("id").alias("s")).select("id", "s.*")
+
+
+@query()
+def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of an animation, and one of them extracted as a child image."""
+    objects = transforms.run(files.import_files(creators.create_files(spark, [("animation", {"frames": 6})])), "gif.extract_frame", {"index": 2})
+    inner, edges = files.children(objects)
+    return inner.join(edges, inner["object_id"] == edges["dst_id"]).select("original_filename", "detected_format", "relation", "checksum")
+
+
+@query("SELECT 12 AS triangles, 684 AS size")
+def obj_to_stl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube of six quads exported as binary STL: twelve triangles of 50 bytes behind 84."""
+    made = exports.export_objects(files.import_files(creators.create_files(spark, [("mesh", {"format": "obj"})])), "stl")
+    return made.select(((F.length("data") - 84) / 50).cast("int").alias("triangles"), F.length("data").alias("size"))
+
+
+@query()
+def exe_static_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static reports of synthetic executables."""
+    import struct
+
+    pe = b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 0, 0, 0, 0, 240, 0x2000) + struct.pack("<H", 0x20B) + bytes(66) + struct.pack("<H", 2) + bytes(300)
+    elf = b"\x7fELF\x02\x01\x01" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 3, 0x3E, 1, 0, 64, 0, 0, 64, 56, 1, 64, 0, 0) + struct.pack("<IIQQQQQQ", 1, 7, 0, 0, 0, 0, 0, 0)
+    rows = [("a.dll", "pe", bytearray(pe)), ("b.so", "elf", bytearray(elf)), ("c.wasm", "wasm", bytearray(creators.create("wasm")[1]))]
+    given = spark.createDataFrame(rows, "name string, path string, data binary")
+    return files.import_files(given).select("original_filename", "detected_format", "warnings", F.get_json_object("content", "$.traits").alias("traits"), F.get_json_object("content", "$.machine").alias("machine"))
+
+
+@query("SELECT doc_id, 7 AS chunks, true AS sealed FROM documents WHERE coalesce(text, '') <> ''")
+def sfp_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each document's container (OBYT where bytes are preserved), the last of them the checksum."""
+
+    @F.pandas_udf("n int, last string")
+    def listed(data: pd.Series) -> pd.DataFrame:
+        from lodestone.sources.container import describe
+
+        got = [describe(bytes(d)) for d in data]
+        return pd.DataFrame([(sum(c["tag"] != "BLOB" for c in g) - 1, g[-1]["tag"]) for g in got], columns=["n", "last"])
+
+    given = docs(spark, sf_dir).filter("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data"))
+    objects = files.import_files(given)
+    keys = objects.select("object_id", F.regexp_extract("original_filename", r"(\d+)", 1).cast("bigint").alias("doc_id"))
+    saved = files.to_containers(objects).select("object_id", listed("container").alias("c"))
+    return saved.join(keys, "object_id").select("doc_id", F.col("c.n").alias("chunks"), (F.col("c.last") == "CKSM").alias("sealed"))
+
+
+@query("""SELECT r_regionkey, 'csv' AS detected, 2 AS columns, 1 AS rows FROM region""")
+def csv_parse_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region as a small CSV text without an extension, detected and parsed."""
+    body = F.encode(F.concat(F.lit("key,name\n"), "r_regionkey", F.lit(","), "r_name", F.lit("\n")), "UTF-8")
+    objects = files.import_files(_files(table(spark, sf_dir, "region"), "r_regionkey", body, F.concat(F.lit("region"), "r_regionkey")))
+    return objects.select(
+        F.regexp_extract("original_filename", r"(\d+)", 1).cast("int").alias("r_regionkey"), F.col("detected_format").alias("detected"), F.json_array_length(F.get_json_object("content", "$.columns")).alias("columns"),
+        F.get_json_object("content", "$.row_count").cast("int").alias("rows"),
+    )

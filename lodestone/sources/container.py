@@ -238,3 +238,8 @@ class ContainerSource(DataSource):
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"])
+
+
+def is_sealed(data: bytes) -> bool:
+    """Whether a container is encrypted: its first chunk says so."""
+    return data[:8] == MAGIC and data[HEADER_SIZE : HEADER_SIZE + 4] == b"ENCR"
