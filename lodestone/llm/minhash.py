@@ -7,11 +7,14 @@ prefix of that length) stand in one region. Two sets of similarity s meet in a r
 with probability 1 - (1 - s^BASE)^TREES: at 0.75 about 2 pairs in a million miss.
 
 Regions are used twice. First each row is paired with its region's least class, in
-some orders; confirmed links merge nearly all of every large group, for one pair a
-row. Then, in every order, regions that still hold several components are searched
-for pairs across components: sizes and whole signatures filter them (a link with a
-signature this far off is a 4.5 sigma event). Where a region is crowded, its depth adapts: the prefix grows
-by further hashes until it is not. All pairs of either step are confirmed on the full sets.
+some orders; confirmed links merge nearly all of every dense group, for one pair a
+row. Then regions that still hold several components are put together where they share
+their least component, each class once with its full set, and searched across
+components: sizes and sketches (one-permutation minimum hashes in ``BINS`` bins) rule
+pairs out (a link with a sketch this far off is a 4.5 sigma event), the rest are
+compared in full, but for pairs that found links already connect. Where such a group
+is crowded, regions are searched by themselves and their depth adapts: the prefix
+grows by further hashes until a region is not crowded.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ TREES, BASE = 24, 3
 HASHES = TREES * BASE
 #: Orders whose regions give the first pairs.
 FIRST_TREES = 8
-#: Rows of a region that are compared at one depth at most.
+#: Bins of a set's sketch, a byte each; the first PROBE of them are compared first.
+BINS, PROBE = 512, 128
+#: Rows of a group that are compared with one another at most.
 CROWD = 20_000
 #: Further hashes that a crowded region's prefix may grow by.
 DEEPER = 24
@@ -84,6 +89,16 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts x BINS) a byte of the least hash in each bin, 0 for empty bins; hashes are sorted in each text, so a bin's first is its least."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = text * BINS + (sets >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.concatenate(([True], place[1:] != place[:-1]))[: len(place)]
+    out = np.zeros((len(bounds) - 1) * BINS, dtype=np.uint8)
+    out[place[first]] = (mix(sets[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out.reshape(-1, BINS)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text, "doc_id").alias("row_hash"), text.alias("text"))
@@ -187,46 +202,90 @@ def crowded_apart(regions: DataFrame, sig: Column) -> DataFrame:
     return regions
 
 
-def across(regions: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one region's classes, of different components, that sizes and signatures allow to be linked.
+class Group:
+    """Classes of one group: components, sizes, sets and sketches; links are found between components."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]], percent: int):
+        self.cls = [r[0] for r in rows]
+        self.root = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        self.sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
+        self.n = np.array([len(v) for v in self.sets], dtype=np.int64)
+        self.sketch = sketches(np.concatenate(self.sets), np.concatenate(([0], np.cumsum(self.n))))
+        self.probe = np.ascontiguousarray(self.sketch[:, :PROBE])
+        self.percent = percent
+
+    def _share(self, some: np.ndarray, k: int, sketch: np.ndarray, bins: int) -> np.ndarray:
+        """Share of agreeing bins beyond what linked sets have at least; negative rules a pair out."""
+        a, b = sketch[some], sketch[k]
+        used = ((a | b) > 0).sum(axis=1)
+        same = ((a == b) & (a > 0)).sum(axis=1)
+        s = self.percent / 100
+        # The bins are drawn without replacement from the union, which has (n + n') / (1 + s) members where s is the similarity.
+        left = np.maximum(0.0, 1 - used / np.maximum(1, (self.n[some] + self.n[k]) / (1 + s)))
+        return (same + 1.5 + 4.5 * np.sqrt(used * s * (1 - s) * left) - used * s) / np.maximum(1, used)
+
+    def linked(self, i: int, k: int) -> bool:
+        both = np.concatenate((self.sets[i], self.sets[k]))
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        return 100 * shared >= self.percent * (len(both) - shared)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links that connect components: each pair of rows of different ones is ruled out, compared, or connected already."""
+        rare = np.flatnonzero(self.root != np.bincount(self.root).argmax())
+        rank = np.full(len(self.n), -1)
+        rank[rare] = np.arange(len(rare))
+        by_size = np.argsort(self.n, kind="stable")
+        sizes = self.n[by_size]
+        for k in rare.tolist():
+            low = np.searchsorted(sizes, -(-self.percent * self.n[k] // 100))
+            high = np.searchsorted(sizes, 100 * self.n[k] // self.percent, side="right")
+            other = by_size[low:high]
+            other = other[(self.root[other] != self.root[k]) & (rank[other] < rank[k])]
+            for part in np.array_split(other, len(other) // 8192 + 1):
+                part = part[self._share(part, k, self.probe, PROBE) >= 0] if len(self.n) > 64 else part
+                share = self._share(part, k, self.sketch, BINS)
+                for j in part[np.argsort(-share, kind="stable")][: int((share >= 0).sum())].tolist():
+                    if self.root[j] != self.root[k] and self.linked(j, k):
+                        yield min(self.cls[j], self.cls[k]), max(self.cls[j], self.cls[k])
+                        self.root[self.root == self.root[j]] = self.root[k]
+
+
+def across(members: DataFrame, rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (x, y) that connect components inside groups. members: label, class, component; texts come by the representatives."""
+    by_row = members.join(reps, "class").groupBy("id", "row_hash").agg(F.collect_list(F.struct("label", "class", "component")).alias("uses"))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["label", "class", "component", "own"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            h, bounds = shingle_sets(batch, size)
+            out: list[tuple] = []
+            for a, b, uses in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column("uses").to_pylist()):
+                own = h[a:b].tobytes()
+                out += [(u["label"], u["class"], u["component"], own) for u in uses]
+                if len(out) >= 512:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    regions: key, class, component, n, sig.
-    """
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, group = None, []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = int(HASHES * (0.75 - 4.5 * (0.75 * 0.25 / HASHES) ** 0.5))
-        key, group = None, []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if len(group) < 2:
-                return
-            cls, comp, n = (np.array([g[k] for g in group], dtype=np.int64) for k in range(3))
-            sig = np.frombuffer(b"".join(g[3] for g in group), dtype=np.uint8).reshape(len(group), HASHES)
-            names, inverse = np.unique(comp, return_inverse=True)
-            largest = np.bincount(inverse).argmax()
-            # Rows of the largest component are only compared with the others, those among themselves once.
-            rare = np.flatnonzero(inverse != largest)
-            rank = np.full(len(group), -1)
-            rank[rare] = np.arange(len(rare))
-            block = max(1, 400_000 // len(group))
-            for k in range(0, len(rare), block):
-                i = rare[k : k + block]
-                ok = (comp[i][:, None] != comp[None, :]) & ~(rank[None, :] > rank[i][:, None])
-                low, high = np.minimum(n[i][:, None], n[None, :]), np.maximum(n[i][:, None], n[None, :])
-                a, b = np.nonzero(ok & (100 * low >= 75 * high))
-                good = (sig[i[a]] == sig[b]).sum(axis=1) >= need
-                a, b = i[a[good]], b[good]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[a], cls[b])), pa.array(np.maximum(cls[a], cls[b]))], names=["x", "y"])
+        def found() -> pa.RecordBatch:
+            got = list(Group(group, percent).links()) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "component", "n", "sig"))):
-                if k != key:
-                    yield from pairs()
-                    key, group = k, []
-                group.append(row)
-        yield from pairs()
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if k != label:
+                    yield found()
+                    label, group = k, []
+                group.append(tuple(row))
+        yield found()
 
-    return regions.repartition("key").sortWithinPartitions("key").mapInArrow(run, "x bigint, y bigint").distinct()
+    shipped = rows.join(by_row.hint("shuffle_hash"), ["id", "row_hash"]).select("text", "uses").mapInArrow(spread, "label bigint, class bigint, component bigint, own binary")
+    return shipped.repartition("label").sortWithinPartitions("label").mapInArrow(search, "x bigint, y bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -240,11 +299,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     """
     rows = keyed(docs)
     sig = materialise(signed(rows, size), "signatures")
-    classes = materialise(
-        sig.filter("n > 0").groupBy("class", "check", "n").agg(F.min(F.struct("id", "row_hash")).alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes"
-    )
+    classes = materialise(sig.filter("n > 0").groupBy("class", "check", "n").agg(F.min(F.struct("id", "row_hash")).alias("rep")), "classes")
     reps = classes.select("class", "rep.id", "rep.row_hash")
-    in_tree = classes.select("class", F.posexplode("keys").alias("tree", "key"))
+
+    def of_reps(*columns: str) -> DataFrame:
+        return sig.select("class", "id", "row_hash", *columns).join(reps, ["class", "id", "row_hash"]).select("class", *columns)
+
+    in_tree = of_reps("keys").select("class", F.posexplode("keys").alias("tree", "key"))
     region = W.partitionBy("key")
     shared = materialise(in_tree.withColumn("together", F.count(F.lit(1)).over(region)).filter("together > 1").drop("together"), "shared")
 
@@ -254,12 +315,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     links = materialise(confirm(materialise(stars, "pairs"), rows, reps, size, percent), "links")
     roots = components(links)
 
-    info = classes.select("class", "n", "sig").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "sig", F.coalesce("root", "class").alias("component"))
-    known = shared.join(info, "class")
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    regions = materialise(known.join(mixed, "key", "left_semi"), "regions")
-    pairs = materialise(across(crowded_apart(regions, F.col("sig"))), "pairs")
-    more = confirm(pairs, rows, reps, size, percent)
+    component = F.coalesce("root", "class").alias("component")
+    known = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("tree", "key", "class", component)
+    mixed = known.groupBy("key").agg(F.min("component").alias("label"), F.max("component").alias("high")).filter("label != high").select("key", "label")
+    regions = materialise(known.join(mixed, "key"), "regions")
+    members = regions.select("label", "class", "component").distinct()
+    crowds = members.groupBy("label").count().filter(F.col("count") > CROWD).select("label")
+    if crowds.limit(1).count():
+        alone = regions.join(crowds, "label", "left_semi").join(of_reps("sig"), "class")
+        apart = crowded_apart(alone.select("tree", "key", "class", "component", "sig"), F.col("sig")).select(F.col("key").alias("label"), "class", "component")
+        members = members.join(crowds, "label", "left_anti").unionByName(apart)
+    more = materialise(across(materialise(members, "members"), rows, reps, size, percent), "links")
     roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more))
 
     of_class = classes.select("class", "check", "rep.id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class"))
