@@ -13,12 +13,15 @@ their least component, each class once with its full set, and searched across
 components: sizes and sketches (one-permutation minimum hashes in ``BINS`` bins) rule
 pairs out (a link with a sketch this far off is a 4.5 sigma event), the rest are
 compared in full, but for pairs that found links already connect. Where such a group
-is crowded, regions are searched by themselves and their depth adapts: the prefix
-grows by further hashes until a region is not crowded.
+is crowded, regions are searched by themselves. A region that is crowded itself is
+searched twice: with its prefix grown by further hashes, which finds most links for
+little, and then whole, block against block over several tasks, so that no pair of the
+region is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ HASHES = TREES * BASE
 FIRST_TREES = 8
 #: Bins of a set's sketch, a byte each; the first PROBE of them are compared first.
 BINS, PROBE = 512, 128
-#: Rows of a group that are compared with one another at most.
+#: Rows of a group that one task compares, about; larger groups are cut into blocks.
 CROWD = 20_000
 #: Further hashes that a crowded region's prefix may grow by.
 DEEPER = 24
@@ -202,16 +205,44 @@ def crowded_apart(regions: DataFrame, sig: Column) -> DataFrame:
     return regions
 
 
+def blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Members (label, class, component, n) of groups too large for a task, as members (label, part, class, component) of tasks.
+
+    Blocks hold about CROWD / 2 rows of one band of sizes, either of the group's commonest
+    component or of the others. Each block of others has a task with each block whose
+    sizes can be linked with its own (parts 1 and 2), and one by itself (part 0), so any
+    two rows of different components and fitting sizes meet in exactly one task.
+    """
+    # Linked sizes differ by a factor of 100 / percent at most, so bands of that width by one; the last factor covers rounding.
+    width = max(1e-3, math.log(100 / percent)) * (1 + 1e-9)
+    banded = members.select("label", "class", "component", F.floor(F.log("n") / width).alias("band"))
+    # The two broadcast tables have a few rows for each group of more than CROWD rows.
+    common = banded.groupBy("label", "component").count().groupBy("label").agg(F.max_by("component", F.struct("count", "component")).alias("common"))
+    sided = banded.join(F.broadcast(common), "label").withColumn("other", F.col("component") != F.col("common")).drop("common")
+    cuts = sided.groupBy("label", "band", "other").agg(F.ceil(F.count(F.lit(1)) / max(1, CROWD // 2)).alias("cuts"))
+    dealt = sided.join(F.broadcast(cuts), ["label", "band", "other"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cuts"))).drop("cuts")
+    units = cuts.select("label", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("block"), "band", "other")
+    unit = F.struct("other", "band", "block")
+    a, b = units.filter("other").select("label", unit.alias("a")), units.select("label", unit.alias("b"))
+    # Blocks of others sort behind the rest, so b < a leaves out only the second task of two blocks of others.
+    tasks = a.join(b, "label").filter("abs(a.band - b.band) <= 1 AND (NOT b.other OR a <= b)").withColumn("task", F.xxhash64("label", "a", "b"))
+    both = F.array(F.struct(F.lit(1).alias("part"), F.col("a").alias("unit")), F.struct(F.lit(2).alias("part"), F.col("b").alias("unit")))
+    itself = F.array(F.struct(F.lit(0).alias("part"), F.col("a").alias("unit")))
+    sides = tasks.select("label", "task", F.explode(F.when(F.expr("a = b"), itself).otherwise(both)).alias("s")).select("label", "task", "s.part", "s.unit.*")
+    return dealt.join(sides, ["label", "band", "other", "block"]).select(F.col("task").alias("label"), "part", "class", "component")
+
+
 class Group:
-    """Classes of one group: components, sizes, sets and sketches; links are found between components."""
+    """Classes of one group: components, sizes, sets and sketches; links are found between components, but not between two rows of part 1 or 2."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]], percent: int):
+    def __init__(self, rows: list[tuple[int, int, bytes, int]], percent: int):
         self.cls = [r[0] for r in rows]
         self.root = np.unique([r[1] for r in rows], return_inverse=True)[1]
         self.sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
         self.n = np.array([len(v) for v in self.sets], dtype=np.int64)
         self.sketch = sketches(np.concatenate(self.sets), np.concatenate(([0], np.cumsum(self.n))))
         self.probe = np.ascontiguousarray(self.sketch[:, :PROBE])
+        self.part = np.array([r[3] for r in rows])
         self.percent = percent
 
     def _share(self, some: np.ndarray, k: int, sketch: np.ndarray, bins: int) -> np.ndarray:
@@ -241,7 +272,7 @@ class Group:
             low = np.searchsorted(sizes, -(-self.percent * self.n[k] // 100))
             high = np.searchsorted(sizes, 100 * self.n[k] // self.percent, side="right")
             other = by_size[low:high]
-            other = other[(self.root[other] != self.root[k]) & (rank[other] < rank[k])]
+            other = other[(self.root[other] != self.root[k]) & (rank[other] < rank[k]) & ((self.part[other] == 0) | (self.part[other] != self.part[k]))]
             for part in np.array_split(other, len(other) // 8192 + 1):
                 part = part[self._share(part, k, self.probe, PROBE) >= 0] if len(self.n) > 64 else part
                 share = self._share(part, k, self.sketch, BINS)
@@ -252,10 +283,10 @@ class Group:
 
 
 def across(members: DataFrame, rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (x, y) that connect components inside groups. members: label, class, component; texts come by the representatives."""
-    by_row = members.join(reps, "class").groupBy("id", "row_hash").agg(F.collect_list(F.struct("label", "class", "component")).alias("uses"))
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ["label", "class", "component", "own"]
+    """Links (x, y) that connect components inside groups. members: label, part, class, component; texts come by the representatives."""
+    by_row = members.join(reps, "class").groupBy("id", "row_hash").agg(F.collect_list(F.struct("label", "class", "component", "part")).alias("uses"))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+    names = ["label", "class", "component", "own", "part"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
@@ -263,7 +294,7 @@ def across(members: DataFrame, rows: DataFrame, reps: DataFrame, size: int, perc
             out: list[tuple] = []
             for a, b, uses in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column("uses").to_pylist()):
                 own = h[a:b].tobytes()
-                out += [(u["label"], u["class"], u["component"], own) for u in uses]
+                out += [(u["label"], u["class"], u["component"], own, u["part"]) for u in uses]
                 if len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
                     out = []
@@ -284,7 +315,7 @@ def across(members: DataFrame, rows: DataFrame, reps: DataFrame, size: int, perc
                 group.append(tuple(row))
         yield found()
 
-    shipped = rows.join(by_row.hint("shuffle_hash"), ["id", "row_hash"]).select("text", "uses").mapInArrow(spread, "label bigint, class bigint, component bigint, own binary")
+    shipped = rows.join(by_row.hint("shuffle_hash"), ["id", "row_hash"]).select("text", "uses").mapInArrow(spread, "label bigint, class bigint, component bigint, own binary, part int")
     return shipped.repartition("label").sortWithinPartitions("label").mapInArrow(search, "x bigint, y bigint").distinct()
 
 
@@ -315,18 +346,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     links = materialise(confirm(materialise(stars, "pairs"), rows, reps, size, percent), "links")
     roots = components(links)
 
-    component = F.coalesce("root", "class").alias("component")
-    known = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("tree", "key", "class", component)
-    mixed = known.groupBy("key").agg(F.min("component").alias("label"), F.max("component").alias("high")).filter("label != high").select("key", "label")
-    regions = materialise(known.join(mixed, "key"), "regions")
+    def mixed_regions(shared: DataFrame, roots: DataFrame) -> DataFrame:
+        known = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("tree", "key", "class", F.coalesce("root", "class").alias("component"))
+        mixed = known.groupBy("key").agg(F.min("component").alias("label"), F.max("component").alias("high")).filter("label != high").select("key", "label")
+        return materialise(known.join(mixed, "key"), "regions")
+
+    def joined_across(members: DataFrame, roots: DataFrame) -> DataFrame:
+        more = materialise(across(materialise(members, "members"), rows, reps, size, percent), "links")
+        return components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more))
+
+    regions = mixed_regions(shared, roots)
     members = regions.select("label", "class", "component").distinct()
     crowds = members.groupBy("label").count().filter(F.col("count") > CROWD).select("label")
-    if crowds.limit(1).count():
-        alone = regions.join(crowds, "label", "left_semi").join(of_reps("sig"), "class")
-        apart = crowded_apart(alone.select("tree", "key", "class", "component", "sig"), F.col("sig")).select(F.col("key").alias("label"), "class", "component")
+    crowded = crowds.limit(1).count() > 0
+    if crowded:
+        alone = materialise(regions.join(crowds, "label", "left_semi").drop("label"), "crowded")
+        deeper = crowded_apart(alone.join(of_reps("sig"), "class").select("tree", "key", "class", "component", "sig"), F.col("sig"))
+        fit = deeper.groupBy("key").count().filter(F.col("count") <= CROWD).select("key")
+        apart = deeper.join(fit, "key", "left_semi").select(F.col("key").alias("label"), "class", "component")
         members = members.join(crowds, "label", "left_anti").unionByName(apart)
-    more = materialise(across(materialise(members, "members"), rows, reps, size, percent), "links")
-    roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more))
+    roots = joined_across(members.withColumn("part", F.lit(0)), roots)
+    if crowded:
+        # Longer prefixes part rows that the region holds together: what is still mixed is searched whole.
+        large = alone.groupBy("key").count().filter(F.col("count") > CROWD).select("key")
+        still = mixed_regions(alone.join(large, "key", "left_semi").select("tree", "key", "class"), roots)
+        whole = materialise(still.select("label", "class", "component").distinct().join(classes.select("class", "n"), "class"), "whole")
+        roots = joined_across(blocks(whole, percent), roots)
 
     of_class = classes.select("class", "check", "rep.id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class"))
     least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -154,6 +154,38 @@ def test_crowded_regions_get_deeper(spark, monkeypatch):
     assert got.select("key").distinct().count() == 3 and got.count() == 9
 
 
+def templated(n=40, linked=24):
+    """Texts over one template that are all just below the limit, but for some that have one text just above it."""
+    import random
+
+    rnd = random.Random(5)
+    template = " ".join(f"t{i}" for i in range(100))
+    texts = [template + "".join(f" u{rnd.random()}" for _ in range(24)) for _ in range(n)]
+    for k in range(linked):
+        w = texts[k].split(" ")
+        texts.append(" ".join(w[:-15] + [f"v{rnd.random()}" for _ in range(15)]))
+    return [(k, t, "en", "s", 0, "d", 1, "z") for k, t in enumerate(texts)]
+
+
+def test_crowded_regions_are_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 6)
+    want = brute_components(templated())
+    assert len({k[2] for k in want}) == 40  # each linked text has one partner
+    assert collections.Counter(tuple(r) for r in minhash.near_duplicates(table(spark, templated())).collect()) == want
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 4)
+    rng = np.random.default_rng(3)
+    data = [(g, 1000 * g + k, int(c), int(n)) for g in (1, 2) for k, (c, n) in enumerate(zip(rng.choice([5, 5, 5, 6, 7, 8], 30), rng.choice([60, 75, 80, 100, 134, 400], 30)))]
+    tasks = collections.defaultdict(list)
+    for r in minhash.blocks(spark.createDataFrame(data, "label long, class long, component long, n long"), 75).collect():
+        tasks[r["label"]].append((r["class"], r["component"], r["part"]))
+    met = collections.Counter(frozenset((x[0], y[0])) for t in tasks.values() for i, x in enumerate(t) for y in t[:i] if x[1] != y[1] and (x[2] == 0 or x[2] != y[2]))
+    want = {frozenset((x[1], y[1])) for i, x in enumerate(data) for y in data[:i] if x[0] == y[0] and x[2] != y[2] and 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3])}
+    assert want <= set(met) and set(met.values()) == {1}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     import random
