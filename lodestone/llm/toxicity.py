@@ -10,7 +10,8 @@ did not see turns the best significance, the number of significant passages and
 their total into a probability.
 
 Models are learnt from a bounded sample of labelled rows (``most_labelled`` a class, those with
-the least hash of the id), so what is sent to the executors has a fixed bound too
+the least hash of the id; the fit's intercept is put back to the classes' shares among all
+usable labels), so what is sent to the executors has a fixed bound too
 (``most_tokens``); every document is scored whole.
 """
 
@@ -143,6 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, most_
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
     mix = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     chosen = one.filter("toxic = 1").orderBy(mix).limit(most_labelled).unionByName(one.filter("toxic = 0").orderBy(mix).limit(most_labelled))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = materialise(
@@ -202,8 +204,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, most_
         clear = [t for t in tails if t > -math.log(SIGNIFICANT)]
         rows.append([1.0, min(max(tails, default=0.0), 40.0), math.log1p(len(clear)), math.log1p(sum(clear))])
     if rows:
-        # The sample holds the classes in other shares than the corpus; that is left as it is: the score ranks and the cut is fixed.
         model.weights = fit_logistic(np.array(rows), np.array([r["toxic"] for r in seen], dtype=float))
+        # The cap changes the classes' shares; the intercept goes back to those of all usable labels, so a score means the same at every size.
+        taken = {c: min(k, most_labelled) for c, k in total.items()}
+        model.weights[0] += math.log(total[1] / total[0]) - math.log(taken[1] / taken[0])
     return model
 
 

@@ -148,6 +148,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["predicted"] for r in toxicity.toxicity(table(spark), labels.limit(0)).collect()} == {0}
 
 
+def test_intercept_is_for_the_shares_of_all_labels(spark, monkeypatch):
+    data = [(i, f"w{i % 7} w{i % 11} " + ("idiot " * 3 if i % 4 == 0 else f"x{i}"), "en", "s", 0, "d", 1, "z") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: [0.0] * 4)
+    used = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = sum(i % 4 == 0 for i in used)
+    assert toxic < 150 < len(used) - toxic
+    assert toxicity.learn(table(spark, data), labels).weights[0] == 0  # no cap reached
+    assert abs(toxicity.learn(table(spark, data), labels, most_labelled=150).weights[0] - np.log(150 / (len(used) - toxic))) < 1e-9
+    assert abs(toxicity.learn(table(spark, data), labels, most_labelled=60).weights[0] - np.log(toxic / (len(used) - toxic))) < 1e-9
+
+
 def test_maximal_segments_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(60):
