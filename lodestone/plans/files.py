@@ -168,15 +168,26 @@ def sfp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, true AS sealed, true AS hidden, sha256(coalesce(text, '')) AS checksum FROM documents WHERE lang = 'fr'")
 def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """French documents as containers, encrypted and decrypted. Salt and nonce are fixed here only so that the query repeats."""
+    """French documents as containers, encrypted and decrypted; encrypt_roundtrip_all takes every document."""
+    return _sealed_and_opened(docs(spark, sf_dir).filter("lang = 'fr'"))
+
+
+@query("SELECT doc_id, true AS sealed, true AS hidden, sha256(coalesce(text, '')) AS checksum FROM documents")
+def encrypt_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as containers, encrypted and decrypted."""
+    return _sealed_and_opened(docs(spark, sf_dir))
+
+
+def _sealed_and_opened(some: DataFrame) -> DataFrame:
+    """Salt and nonce are fixed here only so that the queries repeat."""
     salt, nonce = b"0123456789abcdef", b"n" * 32
-    given = _files(docs(spark, sf_dir).filter("lang = 'fr'"), "doc_id", F.encode("text", "UTF-8"), F.concat(F.lit("doc"), "doc_id", F.lit(".txt")))
+    given = _files(some, "doc_id", F.encode("text", "UTF-8"), F.concat(F.lit("doc"), "doc_id", F.lit(".txt")))
     plain = files.to_containers(files.import_files(given))
     sealed = crypto.encrypt_containers(plain, "secret", salt, nonce)
     opened = files.from_containers(crypto.decrypt_containers(sealed, "secret", salt))
     name = F.get_json_object("meta", "$.original_filename")
     facts = sealed.select("object_id", crypto.is_encrypted(F.col("container")).alias("sealed"), (~F.contains(F.decode("container", "ISO-8859-1"), F.lit("original_filename"))).alias("hidden"))
-    got = opened.select(F.col("container_id").alias("object_id"), F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), F.sha2("original_bytes", 256).alias("checksum"))
+    got = opened.select(F.col("container_id").alias("object_id"), F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), F.sha2(F.coalesce("original_bytes", F.lit(b"")), 256).alias("checksum"))
     return got.join(facts, "object_id").select("doc_id", "sealed", "hidden", "checksum")
 
 

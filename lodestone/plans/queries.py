@@ -177,10 +177,21 @@ def doc_hex_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, lower(coalesce(text, '')) AS text, octet_length(encode(lower(coalesce(text, '')))) AS size, sha256(coalesce(text, '')) AS original_checksum,
        2 AS steps, 'edit.set_text' AS last_action, 'text replaced (' || length(lower(coalesce(text, ''))) || ' chars)' AS last_detail FROM documents WHERE lang = 'en'""")
 def doc_set_text_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents edited; doc_set_text_edit_all takes every document."""
+    return _lowered(docs(spark, sf_dir).filter("lang = 'en'"))
+
+
+@query("""SELECT doc_id, lower(coalesce(text, '')) AS text, octet_length(encode(lower(coalesce(text, '')))) AS size, sha256(coalesce(text, '')) AS original_checksum,
+       2 AS steps, 'edit.set_text' AS last_action, 'text replaced (' || length(lower(coalesce(text, ''))) || ' chars)' AS last_detail FROM documents""")
+def doc_set_text_edit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lowered(docs(spark, sf_dir))
+
+
+def _lowered(some: DataFrame) -> DataFrame:
     """Edits change the text and the history; the original bytes stay what they were."""
     from lodestone.operators.edits import set_text
 
-    objects = docs(spark, sf_dir).filter("lang = 'en'").select(
+    objects = some.select(
         "doc_id", F.lit("txt").alias("detected_format"), "text", data().alias("original_bytes"), graph.record(F.lit(None), "import", F.lit("imported")).alias("history")
     )
     edited = set_text(objects, F.lower("text"))
@@ -314,12 +325,22 @@ def recent_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size FROM t)
     SELECT doc_id::VARCHAR AS object_id, 0 AS position, 'FILE' AS stage, 'doc' || doc_id || '.bin' || ' — ' || size || ' bytes' AS detail FROM s""")
 def pipeline_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = docs(spark, sf_dir).filter("lang = 'de'").select(
+    """The first stage of German documents; pipeline_stages_all has every stage of every document."""
+    return _stages(docs(spark, sf_dir).filter("lang = 'de'")).filter("position = 0")
+
+
+@query()
+def pipeline_stages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stages(docs(spark, sf_dir))
+
+
+def _stages(some: DataFrame) -> DataFrame:
+    objects = some.select(
         F.col("doc_id").cast("string").alias("object_id"), F.concat(F.lit("doc"), "doc_id", F.lit(".bin")).alias("original_filename"), F.octet_length("text").alias("size"),
         D.detect(data(), F.lit("x.bin")).alias("detection"), F.lit("text").alias("adapter"), F.lit("TEXT").alias("object_type"), F.lit("text").alias("kind"),
         F.lit(0).alias("children"), F.lit(0).alias("relationships"), F.lit(1).alias("steps"), F.lit(5).alias("targets"),
     )
-    return graph.pipeline_stages(objects).filter("position = 0")
+    return graph.pipeline_stages(objects)
 
 
 @query("""SELECT vec_id, list_min(list_filter(e, lambda x, i: (i - 1) % 3 = 0)) AS min_x, list_max(list_filter(e, lambda x, i: (i - 1) % 3 = 2)) AS max_z,

@@ -220,3 +220,24 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("ingested").collect()] == [("a.json", "json")]
+
+
+def test_whole_table_queries(spark, tmp_path):
+    """Rows of every language, of null lang and of null and empty text come through, each with all its stages."""
+    import hashlib
+
+    from lodestone.plans import all_queries
+
+    data = [(1, "Salut", "fr"), (2, "Hallo\nÄÖ", "de"), (3, "Hello THERE", "en"), (4, "你好 World", "zh"), (5, "No language", None), (6, None, "fr"), (7, "", None), (8, "Salut", "es")]
+    spark.createDataFrame([(*r, "s") for r in data], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    run = lambda name: all_queries()[name](spark, str(tmp_path))
+    sealed = run("encrypt_roundtrip_all").select("doc_id", "sealed", "hidden", "checksum").collect()
+    assert sorted(tuple(r) for r in sealed) == [(k, True, True, sha(t)) for k, t, _ in data]
+    edited = run("doc_set_text_edit_all").select("doc_id", "text", "original_checksum", "steps").collect()
+    assert sorted(tuple(r) for r in edited) == [(k, (t or "").lower(), sha(t), 2) for k, t, _ in data]
+    names = ["FILE", "FORMAT DETECTION", "FORMAT ADAPTER", "UNIVERSAL OBJECT", "OBJECT GRAPH", "TRANSFORMATION", "EXPORT ADAPTER", "TARGET FILE"]
+    stages = run("pipeline_stages_all").collect()
+    assert sorted((r["object_id"], r["position"], r["stage"]) for r in stages) == [(str(k), i, n) for k, _, _ in data for i, n in enumerate(names)]
+    assert all(r["detail"] for r in stages)
+    assert {r["object_id"]: r["detail"] for r in stages if r["position"] == 0} == {str(k): f"doc{k}.bin — {len((t or '').encode())} bytes" for k, t, _ in data}
