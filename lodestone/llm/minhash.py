@@ -1,9 +1,9 @@
-"""Near-duplicate documents by MinHash with an LSH forest.
+"""Near-duplicate documents by MinHash with banded keys of an LSH forest's base depth.
 
 Texts become sets of word shingles; sets that are equal form one class, and everything
-below works on classes. Each of ``TREES`` signature orders sorts the classes by a
-tuple of minimum hashes; classes that share ``BASE`` of them at least (a longest common
-prefix of that length) stand in one region. Two sets of similarity s meet in a region
+below works on classes. Each of ``TREES`` keys is a hash of a tuple of ``BASE`` minimum
+hashes; classes with an equal key (what would be a common prefix of that length in a
+sorted order of the tree) stand in one region. Two sets of similarity s meet in a region
 with probability 1 - (1 - s^BASE)^TREES: at 0.75 about 2 pairs in a million miss.
 
 Regions are used twice. First each row is paired with its region's least class, in
