@@ -31,7 +31,7 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "long_words": ("word_chars / n_words", [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 14.0, 18.0, 25.0, 50.0]),
     "short_words": ("-word_chars / n_words", [-4.0, -3.5, -3.0, -2.5, -2.0, -1.5, -1.0]),
 }
-#: Strata with thresholds at most, the ones with most labelled good rows; others reject nothing. Bounds what is broadcast.
+#: Strata whose thresholds are broadcast at most; more are joined without it.
 MAX_STRATA = 1024
 
 
@@ -147,17 +147,21 @@ def thresholds(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05, goo
         tested.withColumn("ok", F.min(F.when(passes, 1).otherwise(0)).over(milder))
         .filter((F.col("ok") == 1) & (gain > 0))
         .groupBy("stratum", "rule")
-        .agg(F.max(F.struct(gain.alias("gain"), F.col("j"), F.col("cutoff"))).alias("best"), F.first("n_good").alias("n_good"))
+        .agg(F.max(F.struct(gain.alias("gain"), F.col("j"), F.col("cutoff"))).alias("best"))
     )
     return (
         best.groupBy("stratum")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("best.cutoff").alias("cutoff")))).alias("cuts"), F.max("n_good").alias("n_good"))
-        .orderBy(F.desc("n_good"), "stratum")
-        .limit(MAX_STRATA)
-        .select("stratum", "cuts")
+        .agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("best.cutoff").alias("cutoff")))).alias("cuts"))
     )
 
 
+def with_cuts(counted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``counted`` with the cuts of its stratum; more than MAX_STRATA of them are not sent to every executor."""
+    cuts = materialise(cuts, "quality-cuts")
+    few = cuts.limit(MAX_STRATA + 1).count() <= MAX_STRATA
+    return counted.join(F.broadcast(cuts) if few else cuts, "stratum", "left")
+
+
 def rejecting() -> Column:
     """Names of the rules that reject a row with the features and ``cuts``."""
     return F.array_compact(
@@ -177,7 +181,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFram
     held = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     cuts = thresholds(counted.join(held, "doc_id").filter(~base_failed()), **risk)
     return (
-        counted.join(F.broadcast(cuts), "stratum", "left")
+        with_cuts(counted, cuts)
         .withColumn("base_failed", base_failed())
         .withColumn("failed_rules", F.when(F.col("n_words") > 0, rejecting()).otherwise(F.array().cast("array<string>")))
         .select(
@@ -193,5 +197,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
     held = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     fitted = materialise(counted.drop("row").join(held, "doc_id").filter(~base_failed()), "quality-held")  # labelled rows, numbers only
     cuts = thresholds(fitted, **risk)
-    judged = counted.join(F.broadcast(cuts), "stratum", "left").filter(~base_failed())
+    judged = with_cuts(counted, cuts).filter(~base_failed())
     return judged.filter(F.size(rejecting()) == 0).select("row.*")

@@ -130,6 +130,16 @@ def test_thresholds_limit_false_rejection(spark):
     assert quality.quality_rules(table(spark, data), labels.limit(40)).filter("NOT kept").count() == 0  # too few labels prove nothing
 
 
+def test_every_proven_stratum_rejects(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_STRATA", 1)
+    clean, junk = " ".join(f"word{i}" for i in range(60)), " ".join(f"w{i}### &&&" for i in range(60))
+    data = [(i, (clean if i < 4000 else junk) + f" tail{i}", ("en", "de")[i % 2], "s", 0, "d", 1, "z") for i in range(4600)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 4000)) for r in data], "doc_id long, quality int")
+    got = quality.quality_rules(table(spark, data), labels)
+    assert got.count() == 4600 and got.filter("(doc_id < 4000) != kept").count() == 0
+    assert quality.keep_good(table(spark, data), labels).count() == 4000
+
+
 def test_toxicity_on_held_out_rows(spark):
     import random
 
