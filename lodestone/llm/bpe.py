@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.hashing import GOLD, SHORT, mix, packed
+
 #: Fixed value: the pattern that cuts texts into words before merging (that of the vocabulary files).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
@@ -143,26 +145,9 @@ def classes() -> np.ndarray:
 
 
 _KIND: list[np.ndarray] = []
-_POWERS: list[np.ndarray] = []
-#: Odd multipliers of the two word hashes and a value a byte.
-MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-LETTER_VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 CONTRACTIONS = tuple(b"'" + x for x in (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"))
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """Powers and inverse powers (mod 2^64) of the multipliers, at least n of each; kept between calls."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS.clear()
-        n = max(n, 1 << 16)
-        for m in MULTIPLIERS:
-            for base in (int(m), pow(int(m), -1, 2**64)):
-                p = np.full(n, base, dtype=np.uint64)
-                p[0] = 1
-                _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS
-
-
 def word_starts(data: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     """Byte offsets where the pattern begins a word, in texts laid end to end (each begins at one of ``doc_starts``)."""
     if not _KIND:
@@ -217,19 +202,19 @@ def spans(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Exact encoder over whole texts with a bounded cache of words.
 
-    Texts of a block are cut into words at once; equal words (by two 64-bit hashes)
-    are merged once; words of recent blocks come from the cache.
+    Texts of a block are cut into words at once and equal words are merged once; words of
+    recent blocks come from the cache. Words of up to SHORT bytes are told apart by their
+    bytes in two numbers; the sort goes by a hash of them, and words whose hash belongs
+    to another word are treated like longer ones, which a dictionary of bytes holds.
     """
 
     def __init__(self, vocabulary: Vocabulary, cached: int = 300_000):
         self.vocabulary, self.cached = vocabulary, cached
         self.special = {s.encode(): i for s, i in vocabulary.special.items()}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.hashes = self.checks = np.empty(0, dtype=np.uint64)
+        self.keys = self.low = self.high = np.empty(0, dtype=np.uint64)
         self.at = self.size = np.empty(0, dtype=np.int64)
         self.pool = np.empty(0, dtype=np.int32)
+        self.others: dict[bytes, np.ndarray] = {}
 
     def _merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -258,47 +243,69 @@ class Encoder:
         n[where], at[where] = count, offset
         return np.concatenate(pieces)[spans(at, n)], n
 
+    def _by_bytes(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the different words one after another; for each word where its ids begin and how many it has."""
+        if len(self.others) > self.cached // 8:
+            self.others.clear()
+        raw, ends = data.tobytes(), starts + lengths
+        names = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+        place = {w: k for k, w in enumerate(names)}  # different words, and where one of each stands
+        fresh = np.array([k for w, k in place.items() if w not in self.others], dtype=np.int64)
+        if len(fresh):
+            ids, n = self._merge(data, starts[fresh], lengths[fresh])
+            for k, own in zip(fresh.tolist(), np.split(ids, np.cumsum(n)[:-1])):
+                self.others[names[k]] = own
+        own = [self.others[w] for w in place]
+        size = np.array([len(x) for x in own], dtype=np.int64)
+        rank = dict(zip(place, range(len(own))))
+        of = np.array([rank[w] for w in names], dtype=np.int64)
+        return np.concatenate(own), (np.cumsum(size) - size)[of], size[of]
+
     def _block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and where each text's ids end."""
         texts = np.flatnonzero(np.diff(bounds))
-        doc_starts = bounds[:-1][texts]
-        starts = word_starts(data, doc_starts)
+        starts = word_starts(data, bounds[:-1][texts])
         lengths = np.diff(np.append(starts, len(data)))
-        p = powers(len(data) + 1)
-        value = LETTER_VALUES[data]
-        hashed = []
-        for k in (0, 2):
-            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(value * p[k][: len(data)], dtype=np.uint64)))
-            hashed.append((total[starts + lengths] - total[starts]) * p[k + 1][starts] + lengths.astype(np.uint64))
-        order = np.argsort(hashed[0])
-        h = hashed[0][order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        unique, group = order[new], np.cumsum(new) - 1
-        if (hashed[1][order] != hashed[1][unique][group]).any():
-            raise AssertionError("two words share a 64-bit hash")
-        inverse = np.empty(len(order), dtype=np.int64)
-        inverse[order] = group
-        key, check = h[new], hashed[1][unique]
-        slot = np.minimum(np.searchsorted(self.hashes, key), max(len(self.hashes) - 1, 0))
-        known = (self.hashes[slot] == key) & (self.checks[slot] == check) if len(self.hashes) else np.zeros(len(key), dtype=bool)
-        size, at = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=np.int64)
-        size[known], at[known] = self.size[slot[known]], self.at[slot[known]]
+        short = np.flatnonzero(lengths <= SHORT)
+        low, high = packed(data, starts[short], lengths[short])
+        key = mix(low ^ mix(high * GOLD))
+        order = np.argsort(key)
+        word, low, high, key = short[order], low[order], high[order], key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+        group, one = np.cumsum(new) - 1, np.flatnonzero(new)
+        odd = (low != low[one][group]) | (high != high[one][group])
+        known = np.zeros(len(one), dtype=bool)
+        size, at = np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=np.int64)
+        if len(self.keys):
+            slot = np.minimum(np.searchsorted(self.keys, key[one]), len(self.keys) - 1)
+            known = self.keys[slot] == key[one]
+            clash = known & ((self.low[slot] != low[one]) | (self.high[slot] != high[one]))
+            odd |= clash[group]
+            size[known], at[known] = self.size[slot[known]], self.at[slot[known]]
         pool = self.pool
         if not known.all():
-            fresh = unique[~known]
+            fresh = word[one[~known]]
             ids, n = self._merge(data, starts[fresh], lengths[fresh])
             size[~known], at[~known] = n, len(pool) + np.cumsum(n) - n
             pool = np.concatenate((pool, ids))
-        if len(self.hashes) + (~known).sum() > self.cached:  # the words of this block alone stay
-            kept = pool[spans(at, size)]
-            self.hashes, self.checks, self.size, self.at, self.pool = key, check, size, np.cumsum(size) - size, kept
+        n, begin = np.empty(len(starts), dtype=np.int64), np.empty(len(starts), dtype=np.int64)
+        n[word], begin[word] = size[group], at[group]
+        every, rest = pool, np.concatenate((np.flatnonzero(lengths > SHORT), word[odd]))
+        if len(rest):
+            ids, first, count = self._by_bytes(data, starts[rest], lengths[rest])
+            n[rest], begin[rest] = count, len(pool) + first
+            every = np.concatenate((pool, ids))
+        put = one[~known]
+        if len(self.keys) + len(put) > self.cached:  # the words of this block that the cache lacked alone stay
+            kept = pool[spans(at[~known], size[~known])]
+            self.keys, self.low, self.high, self.size, self.pool = key[put], low[put], high[put], size[~known], kept
+            self.at = np.cumsum(self.size) - self.size
         else:
-            every = np.concatenate((self.hashes, key[~known]))
-            put = np.argsort(every)
-            self.hashes, self.checks = every[put], np.concatenate((self.checks, check[~known]))[put]
-            self.size, self.at, self.pool = np.concatenate((self.size, size[~known]))[put], np.concatenate((self.at, at[~known]))[put], pool
-        n = size[inverse]
-        ids = pool[spans(at[inverse], n)]
+            by = np.argsort(np.concatenate((self.keys, key[put])))
+            joined = lambda old, more: np.concatenate((old, more))[by]
+            self.low, self.high, self.keys = joined(self.low, low[put]), joined(self.high, high[put]), joined(self.keys, key[put])
+            self.size, self.at, self.pool = joined(self.size, size[~known]), joined(self.at, at[~known]), pool
+        ids = every[spans(begin, n)]
         upto = np.concatenate(([0], np.cumsum(n)))
         ends = upto[np.searchsorted(starts, bounds)]
         return ids, ends[1:]
@@ -412,7 +419,11 @@ def valid(raw: bytes) -> bytes:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: each text encoded and decoded again in one pass."""
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded again in one pass.
+
+    Null and empty texts have no tokens and the digests of nothing; repeated rows and null
+    or repeated ids are encoded each by itself; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)

@@ -1,14 +1,15 @@
-"""Best-fit packing of tokenised documents into sequences of bounded length.
-
-Documents and gaps (the free ends of open sequences) are sorted by size. Equal sizes
-are interchangeable and there are at most ``capacity`` of them, so the sorted order is
-held as runs: a size, how many, and the rank of the first. A round takes all documents
-of the largest size left at once; a sweep gives each the successor of its size among
-the gaps, documents of one size and gaps of one size being paired by rank (which
-resolves conflicts); the gaps shrink, and the rest of the size opens new sequences.
-Rounds repeat until no size is left. Only the histogram of sizes (at most ``capacity``
-rows) reaches the driver; ranks of documents come from a distributed range-sort, and
-every row finds its place by its rank among the runs of its size.
+"""Best-fit packing of tokenised documents into sequences of bounded length, in bulk-synchronous rounds.
+
+Pieces of documents and gaps (the free ends of open sequences) are tables; both are
+range-sorted by size, and each row gets its rank among the rows of its size. A round
+takes the largest pieces that can all have a gap of their own, one a gap. The successor
+of a piece is the first gap, by rising size, that holds it; several pieces with one
+successor are moved on by their rank (a piece's place is its own rank plus the
+greatest lead that the gaps too small for a smaller or equal piece have), so pieces and gaps meet
+in a join by place. The gaps shrink by what they took, and rounds repeat until no piece is left;
+sequences are opened when nothing fits. Where many pieces are left for each gap, pieces of one
+small size go several at a time. The driver sees only counts by size, at most
+``capacity`` of pieces and of gaps.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import Encoder, slices, utf8, vocabulary
 from lodestone.llm.common import materialise
 
-#: Rows of one size that are ranked in one task at most, about.
-SHARD_ROWS = 200_000
+#: Shards over which the rows of each size are ranked: one for so many rows of the table, up to a number.
+SHARD_ROWS, MOST_SHARDS = 2_000, 2_000
+#: A round gives a gap several pieces of one size only up to this part of what is left for each gap, and of a sequence.
+SHARE = 8
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -56,56 +59,48 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def plan_runs(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (size, first rank, number, first sequence, offset) that place every document; ``sizes``: how many of each size."""
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of the gap: runs (first sequence, number)
-    opened = 0
-
-    def leave(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            gaps.setdefault(gap, []).append((first, number))
-
-    for size in sorted(sizes, reverse=True):
-        rank, left = 0, sizes[size]
-        while left and (fitting := [g for g in gaps if g >= size]):
-            gap = min(fitting)
-            first, number = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-            placed = min(left, number)
-            runs.append((size, rank, placed, first, capacity - gap))
-            leave(gap - size, first, placed)
-            leave(gap, first + placed, number - placed)
-            rank, left = rank + placed, left - placed
-        each = capacity // size
-        new = -(-left // each)
-        short = new * each - left  # places that stay free in the last sequence
-        for k in range(each if left else 0):
-            placed = new - (k >= each - short)
-            if placed:
-                runs.append((size, rank, placed, opened, k * size))
-                rank += placed
-        leave(capacity - each * size, opened, new - bool(short))
-        if short:
-            leave(capacity - (each - short) * size, opened + new - 1, 1)
-        opened += new
+def sweep(left: dict[int, int], room: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
+    """A round's runs (length, pieces in a bundle, bundles, place of the first), at most one a length.
+
+    ``left`` and ``room`` count pieces and gaps by size; ``most`` bounds the size of a bundle.
+    Places number the gaps by rising size.
+    """
+    sizes = np.array(sorted(room), dtype=np.int64)
+    upto = np.concatenate(([0], np.cumsum([room[g] for g in sizes.tolist()]))).astype(np.int64)
+    total = int(upto[-1])
+    small = lambda width: int(upto[np.searchsorted(sizes, width)])  # noqa: E731  gaps below a size
+    each = sum(left.values()) // max(1, total)
+    items = []
+    for size, n in left.items():
+        bundle = max(1, min(each // SHARE, most // size, n))
+        items.append((bundle * size, size, bundle, n // bundle))
+    chosen, taken = [], 0
+    for width, size, bundle, n in sorted(items, reverse=True):  # the largest that can all have a gap
+        n = min(n, total - small(width) - taken)
+        if n > 0:
+            chosen.append((width, size, bundle, n))
+            taken += n
+    runs, index, lead = [], 0, 0
+    for width, size, bundle, n in reversed(chosen):
+        lead = max(lead, small(width) - index)
+        runs.append((size, bundle, n, index + lead))
+        index += n
     return runs
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds rank: the row's place (from 0) among the rows of its length, by a range-sort and the lengths' prefix sums.
+def ranked(rows: DataFrame, size: str, order: list[str], count: int) -> DataFrame:
+    """Adds rank: the row's place (from 0) among the rows of its ``size``, by a range-sort and prefix sums.
 
-    Each length is split over shards by a hash of the row, so a length that holds most rows doesn't meet in one task.
+    Each size is split over shards by a hash of the row, so a size that holds most rows doesn't meet in one task.
     """
-    shards = max(1, -(-pieces.count() // SHARD_ROWS))
-    shard: Column = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))
-    dealt = pieces.withColumn("shard", shard)
-    before = W.partitionBy("length").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = dealt.groupBy("length", "shard").count().select("length", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    own = W.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
-    sorted_rows = dealt.repartitionByRange("length", "shard").withColumn("nth", F.row_number().over(own) - 1)
-    return sorted_rows.join(starts, ["length", "shard"]).withColumn("rank", F.col("nth") + F.col("first"))
+    shards = max(1, min(MOST_SHARDS, count // SHARD_ROWS))
+    shard: Column = F.pmod(F.xxhash64(*order), F.lit(shards))
+    dealt = rows.withColumn("shard", shard)
+    before = W.partitionBy(size).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    starts = dealt.groupBy(size, "shard").count().select(size, "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    own = W.partitionBy(size, "shard").orderBy(*order)
+    sorted_rows = dealt.repartitionByRange(size, "shard").withColumn("nth", F.row_number().over(own) - 1)
+    return sorted_rows.join(starts, [size, "shard"]).withColumn("rank", F.col("nth") + F.col("first")).drop("shard", "nth", "first")
 
 
 def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -116,12 +111,42 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     gives no rows; rows with one doc_id are packed each by itself; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = materialise(cut_pieces(docs, path, capacity, end_id), "pieces")
-    sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
-    runs = spark.createDataFrame(plan_runs(sizes, capacity), "length bigint, first_rank bigint, number bigint, first_sequence bigint, offset bigint")
-    inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("number"))
-    placed = ranked(pieces).alias("p").join(F.broadcast(runs).alias("r"), (F.col("p.length") == F.col("r.length")) & inside)
-    return placed.select(
-        "doc_id", "piece", "start", "p.length", "ids_crc32",
-        (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset",
-    )
+    cut = materialise(cut_pieces(docs, path, capacity, end_id), "pieces")
+    by_size = lambda rows, size: {r[size]: r["count"] for r in rows.groupBy(size).count().collect()}  # noqa: E731  at most capacity rows
+    left = by_size(cut, "length")
+    if not left:
+        return cut.select("*", F.lit(None).cast("bigint").alias("sequence_id"), F.lit(None).cast("bigint").alias("offset"))
+    pieces = materialise(ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], sum(left.values())), "ranked")
+    gaps = spark.range(0).select(F.col("id").alias("sequence_id"), F.lit(0).cast("bigint").alias("used"), F.lit(capacity).cast("bigint").alias("gap"))
+    taken, opened, placed = dict.fromkeys(left, 0), 0, []
+    room: dict[int, int] = {}
+    while left:
+        runs = sweep(left, room, capacity // SHARE) or sweep(left, room, 1)
+        if not runs:
+            more = max(sum(n for s, n in left.items() if 2 * s > capacity), -(-sum(s * n for s, n in left.items()) // capacity))
+            new = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(0).cast("bigint").alias("used"), F.lit(capacity).cast("bigint").alias("gap"))
+            gaps, opened, room = gaps.unionByName(new), opened + more, room | {capacity: room.get(capacity, 0) + more}
+            continue
+        before = {g: sum(n for x, n in room.items() if x < g) for g in room}
+        firsts = spark.createDataFrame(list(before.items()), "gap bigint, first bigint")
+        places = ranked(gaps, "gap", ["sequence_id"], sum(room.values())).join(F.broadcast(firsts), "gap").withColumn("place", F.col("first") + F.col("rank")).drop("first", "rank")
+        places = materialise(places, "gaps")
+        plan = spark.createDataFrame([(*r, taken[r[0]]) for r in runs], "length bigint, bundle bigint, bundles bigint, place bigint, taken bigint")
+        nth = F.col("rank") - F.col("taken")
+        items = pieces.join(F.broadcast(plan), "length").filter((nth >= 0) & (nth < F.col("bundle") * F.col("bundles")))
+        items = items.withColumn("place", F.col("place") + F.floor(nth / F.col("bundle")).cast("bigint")).withColumn("within", nth % F.col("bundle") * F.col("length"))
+        met = items.join(places, "place")
+        placed.append(materialise(met.select(*cut.columns, "sequence_id", (F.col("used") + F.col("within")).alias("offset")), "placed"))
+        for size, bundle, n, _ in runs:
+            taken[size] += bundle * n
+            left[size] -= bundle * n
+        left = {s: n for s, n in left.items() if n}
+        took = F.broadcast(plan.select((F.col("bundle") * F.col("length")).alias("took"), F.col("place").alias("low"), (F.col("place") + F.col("bundles")).alias("high")))
+        inside = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
+        shrunk = places.join(took, inside, "left").withColumn("used", F.col("used") + F.coalesce("took", F.lit(0)))
+        gaps = shrunk.select("sequence_id", "used", (F.lit(capacity) - F.col("used")).alias("gap")).filter("gap > 0")
+        room = by_size(gaps, "gap") if left else {}
+    every = placed[0]
+    for more in placed[1:]:
+        every = every.unionByName(more)
+    return every

@@ -192,10 +192,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFram
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that quality_rules keeps (see there for the cases)."""
-    counted = features(docs, [F.struct(*docs.columns).alias("row"), "doc_id", F.coalesce("lang", F.lit("\x00none")).alias("stratum")])
+    """The rows of ``docs``, with all their columns, that quality_rules keeps (see there for the cases).
+
+    The counts are written beside the rows, so that texts are read once; thresholds read the counts alone.
+    """
+    stratum = F.coalesce("lang", F.lit("\x00none")).alias("stratum")
+    counted = materialise(features(docs, [F.struct(*docs.columns).alias("row"), "doc_id", stratum]), "quality")
     held = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    fitted = materialise(counted.drop("row").join(held, "doc_id").filter(~base_failed()), "quality-held")  # labelled rows, numbers only
-    cuts = thresholds(fitted, **risk)
-    judged = with_cuts(counted, cuts).filter(~base_failed())
-    return judged.filter(F.size(rejecting()) == 0).select("row.*")
+    cuts = thresholds(counted.drop("row").join(held, "doc_id").filter(~base_failed()), **risk)
+    return with_cuts(counted, cuts).filter(~base_failed() & (F.size(rejecting()) == 0)).select("row.*")

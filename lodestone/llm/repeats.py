@@ -4,15 +4,19 @@ Shared by the two substring operators; each brings its own solver for groups of
 
 1. Every window has an anchor: the unit ``gram`` of least hash inside it (leftmost on
    ties). Equal windows have equal anchors at equal distance, so windows can only be
-   equal inside one anchor key. A text has far fewer anchors than windows; for each, a
-   row holds the key, the run of windows that it serves, and a hash of their content.
-2. Counting rows a key drops anchors that occur once. Rows of one key whose runs are
-   wholly equal are settled by their hash: all their windows repeat.
-3. What is left (mostly at the edges of repeats) is compared in full: the contents of
-   one key's different runs meet in one group and go to the solver, many small groups
-   to a block of bounded size. Keys with more than ``HOT`` different runs never meet:
-   their windows are counted by digest, aggregated before the shuffle.
-4. Each document's spans are applied to its text.
+   equal inside one anchor key, the prefix of the suffix that starts at the anchor. A
+   text has far fewer anchors than windows; for each, a row holds the key, the run of
+   windows that it serves, and a digest of their content.
+2. Counting rows a key (aggregated before the shuffle) drops anchors that occur once.
+   Rows of one key whose runs are wholly equal are one leaf with several owners: all
+   their windows repeat, and one of them stands for them below.
+3. Keys with more than ``HOT`` different runs don't fit one group: their prefixes grow,
+   first to half a window and a gram (a window that has less than that after its anchor
+   has as much before it, and is keyed by that side), and where that isn't enough to the
+   window's whole length, where a prefix that two windows share needs no further look.
+4. What is left meets by its prefix: contents of one key's different runs go to the
+   solver, many small groups to a block of bounded size.
+5. Each document's spans are applied to its text.
 
 Nothing but the final lists of a document's own spans is ever gathered in one row.
 """
@@ -20,6 +24,7 @@ Nothing but the final lists of a document's own spans is ever gathered in one ro
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,35 +32,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from lodestone.llm.bpe import LETTER_VALUES, powers, slices, spans, utf8
+from lodestone.llm.bpe import slices, spans, utf8
 from lodestone.llm.common import materialise
+from lodestone.llm.hashing import GOLD, ODD, digest, eights, mix, range_hashes, run_hashes
 
 #: Different runs of one key that are compared in one task at most.
-HOT = 4096
+HOT = 512
 #: Bytes of content in a solver's block, about.
 BLOCK_BYTES = 4 << 20
 #: Windows whose anchors are found at once; positions inside a stretch fit the low bits of the hashes.
 STRETCH = 1 << 21
-GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of one Arrow batch that carries contents or digests.
+ROWS = 4096
 LOW = np.uint64((1 << 24) - 1)
 REF = ["id", "row_hash"]
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def window_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
-    """Polynomial hashes (mod 2^64, of random unit values) of the ranges [start, end)."""
-    p = powers(len(units) + 1)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(units * p[k][: len(units)], dtype=np.uint64)))
-    return mix((total[ends] - total[starts]) * p[k + 1][starts] + (ends - starts).astype(np.uint64))
-
-
 def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of texts laid end to end."""
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -66,6 +59,17 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(solid & (before | edge[:-1])), np.flatnonzero(solid & (after | edge[1:])) + 1
 
 
+def single_spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with one space in place of the white space after a word, and none before the first; equal word runs have equal bytes then."""
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    keep[inner] = solid[inner]
+    moved = np.concatenate(([0], np.cumsum(keep)))
+    return np.where(solid, data, 32).astype(np.uint8)[keep], moved[bounds]
+
+
 @dataclass
 class Unit:
     """What a window is made of."""
@@ -74,33 +78,35 @@ class Unit:
     length: int
     gram: int
 
-    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """Bytes, unit values of all texts end to end, each text's first unit (and the total), byte starts and ends of units."""
+    @property
+    def half(self) -> int:
+        """Units of the longer prefixes: on one side of the anchor or the other, every window has as many."""
+        return (self.length + 1 + self.gram) // 2
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Bytes of all texts end to end (words with single spaces), each text's first unit (and the total), byte starts and ends of words."""
         data, bounds = utf8(batch)
         if not self.words:
             none = np.empty(0, dtype=np.int64)
-            return data, LETTER_VALUES[data], bounds, (none, none)
+            return data, bounds, (none, none)
+        data, bounds = single_spaced(data, bounds) if len(data) else (data, bounds)
         starts, ends = word_bounds(data, bounds)
-        values = window_hashes(LETTER_VALUES[data], starts, ends) if len(starts) else np.empty(0, dtype=np.uint64)
-        return data, values, np.searchsorted(starts, bounds), (starts, ends)
+        return data, np.searchsorted(starts, bounds), (starts, ends)
 
-    def grams(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
-        n = len(values)
-        h = np.zeros(n, dtype=np.uint64)
+    def grams(self, data: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         if self.words:
-            padded = np.concatenate((values, np.zeros(self.gram, dtype=np.uint64)))
-            for q in range(self.gram):
-                h += padded[q : q + n]
-                h *= GOLD
-                h ^= h >> np.uint64(29)
-            return mix(h)
-        raw = np.concatenate((data, np.zeros(self.gram + 8, dtype=np.uint8))).tobytes()
-        eight = np.ndarray(shape=(n + self.gram,), dtype=np.uint64, buffer=raw, strides=(1,))
+            return run_hashes(range_hashes(data, *places), self.gram)
+        n = len(data)
+        eight = eights(np.concatenate((data, np.zeros(self.gram, dtype=np.uint8))))
+        h = np.zeros(n, dtype=np.uint64)
         for q in range(0, self.gram, 8):
-            h += eight[q : q + n]
-            h *= GOLD
-            h ^= h >> np.uint64(29)
-        return mix(h)
+            h = mix((h ^ eight[q : q + n]) * ODD + GOLD)
+        return h
+
+    def content(self, raw: bytes, places: tuple[np.ndarray, np.ndarray], first: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
+        """The bytes of non-empty unit ranges [first, end)."""
+        a, b = (places[0][first], places[1][end - 1]) if self.words else (first, end)
+        return (raw[x:y] for x, y in zip(a.tolist(), b.tolist()))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -112,17 +118,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(unit: Unit, data: np.ndarray, values: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchor rows of texts laid end to end: text, key, seg (content hash), p, a, b (anchor, first and last window).
+def anchors(unit: Unit, grams: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
+    """Anchor rows of texts laid end to end: text, key, p, a, b (anchor, first and last window, as units of all texts).
 
-    Windows are looked at ``STRETCH`` at a time; where a stretch ends within a run, the run is cut (then its hash can't
+    Windows are looked at ``STRETCH`` at a time; where a stretch ends within a run, the run is cut (then its digest can't
     settle it, and it is compared in full).
     """
-    parts = [{k: np.empty(0, dtype=np.int64) for k in ("text", "key", "seg", "p", "a", "b")}]
+    parts = [{k: np.empty(0, dtype=np.int64) for k in ("text", "key", "p", "a", "b")}]
     text_of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    grams = unit.grams(data, values)
-    for at in range(0, len(values) - unit.length + 1, STRETCH):
-        n = min(STRETCH, len(values) - unit.length + 1 - at)
+    for at in range(0, len(grams) - unit.length + 1, STRETCH):
+        n = min(STRETCH, len(grams) - unit.length + 1 - at)
         some = grams[at : at + n + unit.length - unit.gram]
         least = sliding_min((some & ~LOW) | np.arange(len(some), dtype=np.uint64), unit.length - unit.gram + 1)
         start = np.flatnonzero(np.arange(at, at + n) + unit.length <= firsts[1:][text_of[at : at + n]])
@@ -133,12 +138,29 @@ def anchors(unit: Unit, data: np.ndarray, values: np.ndarray, firsts: np.ndarray
         new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (text[1:] != text[:-1]))))
         a, b, p, text = start[new], start[np.append(new[1:], len(start)) - 1], p[new], text[new]
         parts.append({"text": text, "key": grams[p].view(np.int64), "p": p, "a": a, "b": b})
-    got = {k: np.concatenate([x[k] for x in parts if k in x]) for k in parts[0]}
-    if len(got["a"]):
-        seg = mix(window_hashes(values, got["a"], got["b"] + unit.length) + (got["p"] - got["a"]).astype(np.uint64) * GOLD)
-        zero = firsts[:-1][got["text"]]
-        got |= {"seg": seg.view(np.int64)} | {k: got[k] - zero for k in "pab"}
-    return got
+    return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
+
+
+def run_digests(own: Iterator[bytes], distance: np.ndarray) -> np.ndarray:
+    """Digest of each run's content and of the anchor's distance from its start."""
+    seg = np.fromiter(map(digest, own), dtype=np.int64, count=len(distance))
+    return mix(seg.view(np.uint64) ^ mix(distance.astype(np.uint64) * GOLD)).view(np.int64)
+
+
+def batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded length."""
+    out: list[tuple] = []
+
+    def cut() -> pa.RecordBatch:
+        columns = zip(*out) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+
+    for r in rows:
+        out.append(r)
+        if len(out) >= most:
+            yield cut()
+            out = []
+    yield cut()
 
 
 def lcp(x: bytes, y: bytes) -> int:
@@ -186,7 +208,7 @@ class Blocks:
         if not self.unit.words:
             return data, bounds
         starts, ends = word_bounds(data, bounds)
-        return window_hashes(LETTER_VALUES[data], starts, ends), np.searchsorted(starts, bounds)
+        return range_hashes(data, starts, ends), np.searchsorted(starts, bounds)
 
     def flush(self) -> Iterator[tuple]:
         """(ref, first unit, end) of repeated spans."""
@@ -209,10 +231,6 @@ class Blocks:
                 first, last = max(0, r[4] - lr), min(r[3] - 1, r[4] + rr - length)
                 if first > last:
                     continue
-                if len(group) == 2:  # both reaches are to the one other row
-                    if r[1]:
-                        yield r[0], r[2] + first, r[2] + last + length
-                    continue
                 asked.append((int(bounds[i]) + first, last - first + 1, n))
                 owners.append((r, first))
             k += len(group)
@@ -258,131 +276,154 @@ def repeated_spans(rows: DataFrame, unit: Unit, solve: Solver) -> DataFrame:
 
     ``rows``: id, row_hash, text. Rows without such windows are missing.
     """
+    length, half, gram = unit.length, unit.half, unit.gram
+    text = rows.select(*REF, "text")
+    run_names, run_types = [*REF, "key", "seg", "p", "a", "b", "mine"], [*[pa.int64()] * 4, *[pa.int32()] * 3, pa.bool_()]
+    run_schema = "id bigint, row_hash bigint, key bigint, seg bigint, p int, a int, b int, mine boolean"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2 << 20):
-            data, values, firsts, _ = unit.read(batch)
-            got = anchors(unit, data, values, firsts)
-            text = pa.array(got["text"])
-            columns = [batch.column("id").take(text), batch.column("row_hash").take(text), pa.array(got["key"]), pa.array(got["seg"])]
-            columns += [pa.array(got[c].astype(np.int32)) for c in "pab"]
-            yield pa.RecordBatch.from_arrays(columns, names=[*REF, "key", "seg", "p", "a", "b"])
-
-    found = rows.select(*REF, "text").mapInArrow(find, "id bigint, row_hash bigint, key bigint, seg bigint, p int, a int, b int")
-    by_key, by_run = W.partitionBy("key"), W.partitionBy("key", "seg")
-    counted = (
-        found.withColumn("together", F.count(F.lit(1)).over(by_key))
-        .filter("together > 1")
-        .withColumn("alike", F.count(F.lit(1)).over(by_run))
-        .withColumn("nth", F.row_number().over(by_run.orderBy(*REF, "a")))
-        .withColumn("runs", F.count_if(F.col("nth") == 1).over(by_key))
-    )
-    # kind: 0 settled, 1 unsettled, 2 settled but shown to unsettled ones; + 4 for hot keys
-    kind = F.when(F.col("alike") == 1, 1).when((F.col("nth") == 1) & (F.col("runs") > 1), 2).otherwise(0) + F.when(F.col("runs") > HOT, 4).otherwise(0)
-    listed = counted.select(*REF, F.struct("key", "p", "a", "b", kind.alias("kind")).alias("run"))
-    lists = materialise(listed.groupBy(*REF).agg(F.collect_list("run").alias("runs")), "anchors")
-    settled = lists.select(*REF, F.filter("runs", lambda r: (r["kind"] % 4) != 1).alias("runs")).select(
-        *REF, F.transform("runs", lambda r: r["a"]).alias("starts"), F.transform("runs", lambda r: r["b"] + unit.length).alias("ends")
-    )
-
-    def of_kind(hot: bool) -> DataFrame:
-        wanted = lambda r: (r["kind"] == 5) | (r["kind"] == 6) if hot else (r["kind"] == 1) | (r["kind"] == 2)
+            data, firsts, places = unit.read(batch)
+            got = anchors(unit, unit.grams(data, places), firsts)
+            seg = run_digests(unit.content(data.tobytes(), places, got["a"], got["b"] + length), got["p"] - got["a"])
+            row, zero = pa.array(got["text"]), firsts[:-1][got["text"]]
+            columns = [batch.column("id").take(row), batch.column("row_hash").take(row), pa.array(got["key"]), pa.array(seg)]
+            columns += [pa.array((got[c] - zero).astype(np.int32)) for c in "pab"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.ones(len(zero), dtype=bool))], names=run_names)
+
+    def listed(found: DataFrame) -> DataFrame:
+        """id, row_hash, runs: of keys that occur more than once. kind: 0 settled, 1 unsettled, 2 settled but shown to unsettled ones; + 4 for hot keys."""
+        several = materialise(found.groupBy("key").count().filter("count > 1").select("key"), "keys")
+        live = materialise(found.join(several, "key", "left_semi"), "live")
+        by_run = materialise(live.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("alike"), F.min(F.struct(*REF, "a")).alias("one")), "runs")
+        by_key = by_run.groupBy("key").agg(F.count(F.lit(1)).alias("runs"))
+        per_run = materialise(by_run.join(by_key, "key"), "runs")
+        stands = F.struct(*REF, "a") == F.col("one")
+        kind = F.when(F.col("alike") == 1, 1).when(stands & (F.col("runs") > 1), 2).otherwise(0) + F.when(F.col("runs") > HOT, 4).otherwise(0)
+        run = F.struct("key", "p", "a", "b", kind.alias("kind"), "mine")
+        # A set, so that repeated rows (equal id and text) share one list of the length of one text.
+        return materialise(live.join(per_run, ["key", "seg"]).select(*REF, run.alias("run")).groupBy(*REF).agg(F.collect_set("run").alias("runs")), "anchors")
+
+    def chosen(lists: DataFrame, wanted: Callable) -> DataFrame:
+        """The texts that have wanted runs, with these; every row (id, row_hash) once."""
         todo = lists.select(*REF, F.filter("runs", wanted).alias("runs")).filter(F.size("runs") > 0)
-        return rows.select(*REF, "text").join(todo.hint("shuffle_hash"), REF)
+        return text.join(todo.hint("shuffle_hash"), REF)
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, _, firsts, (starts, ends) = unit.read(batch)
+    def each_run(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+        """The block's bytes, word places, and for each run: id, row_hash, the run, its text's first unit."""
+        for batch in slices(batches, size):
+            data, firsts, places = unit.read(batch)
             raw = data.tobytes()
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            refs = zip(batch.column("id").to_pylist(), batch.column("row_hash").to_pylist(), batch.column("runs").to_pylist(), firsts.tolist())
-            for i, h, runs, zero in refs:
+            for i, h, runs, zero in zip(*(batch.column(c).to_pylist() for c in (*REF, "runs")), firsts.tolist()):
                 for r in runs:
-                    first, end = zero + r["a"], zero + r["b"] + unit.length
-                    own = b" ".join(raw[s:e] for s, e in zip(starts[first:end].tolist(), ends[first:end].tolist())) if unit.words else raw[first:end]
-                    for column, value in zip(out, (i, h, r["key"], r["kind"] % 4 == 1, (r["a"] << 32) | (r["p"] - r["a"]), r["b"] - r["a"] + 1, own)):
-                        column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*REF, "key", "mine", "at", "windows", "content"])
+                    yield raw, places, i, h, r, zero
+
+    def piece(raw: bytes, places: tuple, first: int, end: int) -> bytes:
+        return raw[places[0][first] : places[1][end - 1]] if unit.words else raw[first:end]
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> Iterator[tuple]:
+            for raw, places, i, h, r, zero in each_run(batches, 1 << 20):
+                own = piece(raw, places, zero + r["a"], zero + r["b"] + length)
+                yield i, h, r["key"], r["mine"] and r["kind"] == 1, (r["a"] << 32) | (r["p"] - r["a"]), r["b"] - r["a"] + 1, own
+
+        return batched(cut(), [*REF, "key", "mine", "at", "windows", "content"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, key, group = Blocks(unit, solve), None, []
-
-        def emit() -> pa.RecordBatch:
-            got = [(i, h, s, e) for (i, h), s, e in blocks.flush()]
-            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=[*REF, "s", "e"])
-
-        for batch in batches:
-            for i, h, k, mine, at, windows, content in zip(*(batch.column(c).to_pylist() for c in (*REF, "key", "mine", "at", "windows", "content"))):
-                if k != key:
-                    if len(group) > 1:
-                        blocks.add(group)
-                    key, group = k, []
-                    if blocks.size > BLOCK_BYTES:
-                        yield emit()
-                group.append(((i, h), mine, at >> 32, windows, at & 0xFFFFFFFF, content))
-        if len(group) > 1:
-            blocks.add(group)
-        yield emit()
-
-    shipped = "id bigint, row_hash bigint, key bigint, mine boolean, at bigint, windows int, content binary"
-    compared = (
-        of_kind(False).mapInArrow(contents, shipped).repartition("key").sortWithinPartitions("key").mapInArrow(compare, "id bigint, row_hash bigint, s int, e int")
-    )
-    parts = [compared]
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1 << 20):
-            data, values, firsts, _ = unit.read(batch)
-            refs = []
-            for n, (runs, zero) in enumerate(zip(batch.column("runs").to_pylist(), firsts.tolist())):
-                refs += [(n, zero, zero + r["a"], r["b"] - r["a"] + 1, r["kind"] % 4 == 1) for r in runs]
-            n, zero, a, count, mine = (np.array(c, dtype=np.int64) for c in zip(*refs))
-            at, row = spans(a, count), pa.array(np.repeat(n, count))
-            columns = [batch.column("id").take(row), batch.column("row_hash").take(row), pa.array((at - np.repeat(zero, count)).astype(np.int32)), pa.array(np.repeat(mine, count) == 1)]
-            columns += [pa.array(window_hashes(values, at, at + unit.length, k).view(np.int64)) for k in (0, 2)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*REF, "s", "mine", "h1", "h2"])
-
-    if lists.filter(F.exists("runs", lambda r: r["kind"] > 4)).limit(1).count():
-        windows = of_kind(True).mapInArrow(digests, "id bigint, row_hash bigint, s int, mine boolean, h1 bigint, h2 bigint")
-        twice = windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-        parts.append(windows.filter("mine").join(twice.hint("merge"), ["h1", "h2"]).select(*REF, "s", (F.col("s") + unit.length).alias("e")))
-
-    late = [
-        p.groupBy(*REF).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends")) for p in parts
-    ]
-    lists_of_spans = settled
-    for p in late:
-        lists_of_spans = lists_of_spans.unionByName(p)
-    return lists_of_spans.groupBy(*REF).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+        def spans_of() -> Iterator[tuple]:
+            blocks, key, group, seen = Blocks(unit, solve), None, [], set()
+            for batch in batches:
+                for i, h, k, mine, at, windows, content in zip(*(batch.column(c).to_pylist() for c in (*REF, "key", "mine", "at", "windows", "content"))):
+                    if k != key:
+                        if len(group) > 1:
+                            blocks.add(group)
+                        key, group, seen = k, [], set()
+                        if blocks.size > BLOCK_BYTES:
+                            yield from blocks.flush()
+                    if (i, h, at) not in seen:  # repeated rows come several times
+                        seen.add((i, h, at))
+                        group.append(((i, h), mine, at >> 32, windows, at & 0xFFFFFFFF, content))
+            if len(group) > 1:
+                blocks.add(group)
+            yield from blocks.flush()
+
+        return batched(((*ref, s, e) for ref, s, e in spans_of()), [*REF, "s", "e"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+
+    def lengthened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs keyed by ``half`` units: from the anchor on, or up to its end for windows that have fewer after it."""
+
+        def grown() -> Iterator[tuple]:
+            for raw, places, i, h, r, zero in each_run(batches, 1 << 20):
+                p, cut = zero + r["p"], zero + r["p"] - (length - half)
+                mine = r["mine"] and r["kind"] == 5
+                sides = (max(zero + r["a"], cut), zero + r["b"], p, p + half, b">"), (zero + r["a"], min(zero + r["b"], cut - 1), cut - 1, p + gram, b"<")
+                for a, b, first, end, side in sides:
+                    if a <= b:
+                        seg = digest(struct.pack("<q", p - a) + piece(raw, places, a, b + length))
+                        yield i, h, digest(side + piece(raw, places, first, end)), seg, r["p"], a - zero, b - zero, mine
+
+        return batched(grown(), run_names, run_types)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows keyed by their whole length (128 bits)."""
+
+        def windows() -> Iterator[tuple]:
+            for raw, places, i, h, r, zero in each_run(batches, 1 << 20):
+                for w in range(r["a"], r["b"] + 1):
+                    own = piece(raw, places, zero + w, zero + w + length)
+                    yield i, h, w, r["mine"] and r["kind"] == 5, *struct.unpack("<qq", hashlib.blake2b(own, digest_size=16).digest())
+
+        return batched(windows(), [*REF, "s", "mine", "h1", "h2"], [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()])
+
+    parts, hot = [], None
+    for level in ("gram", "half"):
+        source, cut = (text, find) if hot is None else (hot, lengthened)
+        lists = listed(materialise(source.mapInArrow(cut, run_schema), f"found-{level}"))
+        done = F.filter("runs", lambda r: r["mine"] & ((r["kind"] % 4) != 1))
+        parts.append(lists.select(*REF, done.alias("runs")).select(*REF, F.transform("runs", lambda r: r["a"]).alias("starts"), F.transform("runs", lambda r: r["b"] + length).alias("ends")))
+        shipped = chosen(lists, lambda r: (r["kind"] == 1) | (r["kind"] == 2)).mapInArrow(
+            contents, "id bigint, row_hash bigint, key bigint, mine boolean, at bigint, windows int, content binary"
+        )
+        compared = shipped.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "id bigint, row_hash bigint, s int, e int")
+        parts.append(compared.groupBy(*REF).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends")))
+        hot = chosen(lists, lambda r: (r["kind"] == 5) | (r["kind"] == 6))
+        if not lists.filter(F.exists("runs", lambda r: (r["kind"] == 5) | (r["kind"] == 6))).limit(1).count():
+            break
+    else:
+        windows = hot.mapInArrow(whole, "id bigint, row_hash bigint, s int, mine boolean, h1 bigint, h2 bigint")
+        twice = materialise(windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "windows")
+        repeated = windows.filter("mine").join(twice, ["h1", "h2"]).groupBy(*REF).agg(F.collect_set("s").alias("starts"))
+        parts.append(repeated.select(*REF, "starts", F.transform("starts", lambda s: s + length).alias("ends")))
+
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(*REF).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
 def remove_repeats(docs: DataFrame, unit: Unit, solve: Solver, carry: list[str]) -> DataFrame:
-    """row (a struct of the columns ``carry``), n_units, n_removed, n_spans, kept (binary) and kept_sha256 of each row of ``docs``."""
+    """row (a struct of the columns ``carry``), n_units, n_removed, n_spans, kept_sha256 and text (what is left; bytes that are no whole character read U+FFFD)."""
     rows = keyed(docs, carry)
     found = repeated_spans(rows, unit, solve)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data, _, firsts, (starts, ends) = unit.read(batch)
+            data, firsts, (starts, ends) = unit.read(batch)
             raw = data.tobytes()
             out: tuple[list, ...] = ([], [], [], [])
             for first, end, s, e in zip(firsts[:-1].tolist(), firsts[1:].tolist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist()):
                 n, removed = end - first, merged(s or [], e or [])
-                gaps = zip([0] + [y for _, y in removed], [x for x, _ in removed] + [n])
-                if unit.words:
-                    w = [raw[x:y] for a, b in gaps for x, y in zip(starts[first + a : first + b].tolist(), ends[first + a : first + b].tolist())]
-                    kept = b" ".join(w)
-                else:
-                    kept = b"".join(raw[first + a : first + b] for a, b in gaps)
+                gaps = [(first + x, first + y) for x, y in zip([0] + [y for _, y in removed], [x for x, _ in removed] + [n]) if x < y]
+                kept = b" ".join(raw[starts[x] : ends[y - 1]] for x, y in gaps) if unit.words else b"".join(raw[x:y] for x, y in gaps)
                 for column, value in zip(out, (n, sum(y - x for x, y in removed), len(removed), kept)):
                     column.append(value)
             sha = pa.array([hashlib.sha256(k).hexdigest() for k in out[3]], pa.string())
-            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns, sha], names=["row", "n_units", "n_removed", "n_spans", "kept", "kept_sha256"])
+            left = pa.array([k.decode("utf-8", "replace") for k in out[3]], pa.string())
+            columns = [pa.array(c, pa.int64()) for c in out[:3]]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns, sha, left], names=["row", "n_units", "n_removed", "n_spans", "kept_sha256", "text"])
 
     joined = rows.join(found.hint("shuffle_hash"), REF, "left")
     schema = joined.select("row").schema
-    for name, kind in (("n_units", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary"), ("kept_sha256", "string")):
+    for name, kind in (("n_units", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("text", "string")):
         schema = schema.add(name, kind)
     return joined.select("row", "text", "starts", "ends").mapInArrow(apply, schema)

@@ -1,11 +1,12 @@
 """Substring deduplication by bytes, with suffix arrays of shards.
 
-A shard holds the contents of whole anchor groups (see ``repeats``), so equal strings
-of different shards are impossible but for hot keys, whose strings are merged across
-shards by digest instead. Its suffix array is built by Larsson and Sadakane's
-refinement in numpy: suffixes sorted by their first bytes are refined by the ranks of
-the suffixes h bytes on, h doubling, and only groups that are still unsorted are sorted
-again. Kasai's scan along the text gives the common prefixes of neighbours.
+A shard holds the contents of whole prefix groups (see ``repeats``). Its suffix array is
+built by Larsson and Sadakane's refinement in numpy: suffixes sorted by their first bytes
+are refined by the ranks of the suffixes h bytes on, h doubling, and only groups that are
+still unsorted are sorted again. Kasai's scan along the text gives the common prefixes of
+neighbours. Equal strings of different shards are impossible by the partition, but for
+prefixes that more runs share than a shard takes; these windows are merged across shards
+by a digest of their whole length.
 """
 
 from __future__ import annotations
@@ -108,12 +109,14 @@ def repeated_suffixes(values: np.ndarray, starts: np.ndarray, group: np.ndarray,
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 400, gram: int = 32, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """row (a struct of the columns ``carry``), n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of each row of ``docs`` (doc_id, text).
+    """row (a struct of the columns ``carry``), n_bytes, n_removed, n_spans, kept_sha256 and text of each row of ``docs`` (doc_id, text).
 
     Every byte of the UTF-8 text covered by a ``window``-byte string that also starts
     anywhere else goes; strings are judged on the input and never cross documents. Null,
     empty and shorter texts lose nothing; rows with equal text repeat each other; null
     and repeated ids are fine; an empty table gives no rows; other columns are ignored.
+    ``text`` is what is left; where a cut parts a character, its bytes read U+FFFD there
+    (the digest is of the bytes themselves).
     """
     unit = Unit(words=False, length=window, gram=gram)
     return remove_repeats(docs, unit, repeated_suffixes, list(carry)).withColumnRenamed("n_units", "n_bytes")

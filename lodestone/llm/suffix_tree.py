@@ -1,19 +1,20 @@
 """Substring deduplication by words, with prefix-partitioned truncated suffix trees.
 
 Suffixes of a text are the word sequences from each of its words on. They are
-partitioned by prefix: first by anchor key, the words that a repeat must contain
-(see ``repeats``), so a group fits in memory; there a tree of the suffixes that may
-repeat is grown breadth-first, one word a level. A node is the set of suffixes that
-share its prefix; nodes with a single suffix are leaves and go at once, so each
-branch's prefix is as long as it has to be. The nodes that are still internal at the
-window's depth are the repeats.
+partitioned by prefixes of variable length (see ``repeats``): the anchor's words first,
+half a window where more suffixes share these than fit a group, the whole window where
+even that is shared by too many. In each group a tree of the suffixes that may repeat
+is grown breadth-first, one word a level. A node is the set of suffixes that share its
+prefix; nodes with a single suffix are leaves and go at once. The nodes that are still
+internal at the window's depth are the repeats. Suffixes with wholly equal text are one
+leaf with several owners, and a prefix of the window's whole length that is shared is a
+deep internal node by itself; neither needs a tree to be found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.llm.repeats import Unit, remove_repeats
 
@@ -39,7 +40,7 @@ def deep_nodes(values: np.ndarray, starts: np.ndarray, group: np.ndarray, depth:
 
 
 def remove_repeated_words(docs: DataFrame, window: int = 35, gram: int = 6, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """row (a struct of the columns ``carry``), n_words, n_removed, kept (text) and kept_sha256 of each row of ``docs`` (doc_id, text).
+    """row (a struct of the columns ``carry``), n_words, n_removed, kept_sha256 and text (the words left) of each row of ``docs`` (doc_id, text).
 
     Every word covered by a run of ``window`` words that also starts anywhere else goes;
     runs are judged on the input. Null, blank and shorter texts lose nothing and are
@@ -47,6 +48,4 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, gram: int = 6, carr
     words; null and repeated ids are fine; an empty table gives no rows; other columns are ignored.
     """
     unit = Unit(words=True, length=window, gram=gram)
-    return remove_repeats(docs, unit, deep_nodes, list(carry)).select(
-        "row", F.col("n_units").alias("n_words"), "n_removed", F.col("kept").cast("string").alias("kept"), "kept_sha256"
-    )
+    return remove_repeats(docs, unit, deep_nodes, list(carry)).withColumnRenamed("n_units", "n_words").drop("n_spans")

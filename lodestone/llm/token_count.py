@@ -3,12 +3,14 @@
 An Aho-Corasick automaton lists the vocabulary pieces that end at each place of a word;
 a Viterbi pass carries, for each place, only the best score and the number of pieces
 on its path. Ties go as in the tokenizers library: a later candidate must be strictly
-better, and candidates come by rising start. Words are cut before each space mark,
-which no piece spans, so a text's count is the sum over its words; counts of words
+better, and candidates come by rising start. Words are cut before each space mark, as
+the library's Metaspace pre-tokenizer does (so the few pieces with a mark inside, runs of
+marks, never match), and a text's count is the sum over its words; counts of words
 seen before come from a bounded cache.
 
-The installed vocabulary files hold no unigram model; the query takes pieces and
-scores of the sentence-piece file as one, and is exact for that model.
+The installed vocabulary files hold no unigram model and tokenizers are not trained
+here; the query takes pieces and scores of the sentence-piece file as one (``token_counts``
+takes any), and is exact for the library's unigram model with these.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ their total into a probability.
 
 Models are learnt from a bounded sample of labelled rows (``most_labelled`` a class, those with
 the least hash of the id; the fit's intercept is put back to the classes' shares among all
-usable labels), so what is sent to the executors has a fixed bound too
-(``most_tokens``); every document is scored whole.
+usable labels), so what is sent to the executors is bounded by the tokens of that sample, whatever
+the corpus's size; every document is scored whole.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float
     return w.tolist()
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, most_tokens: int = 50_000, prior: float = 200.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, prior: float = 200.0) -> Model:
     """Model from the labelled rows outside the holdout; two thirds give the log-odds, one third the calibration."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
     mix = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
@@ -177,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000, most_
     total1, total0 = n[1] + prior * n[1] / (n[0] + n[1]), n[0] + prior * n[0] / (n[0] + n[1])
     odds = F.log(up / F.greatest(total1 - up, F.lit(0.5))) - F.log(base / F.greatest(total0 - base, F.lit(0.5)))
     z = odds / F.sqrt(1 / up + 1 / base)
-    strong = counts.filter("y1 + y0 >= 3").select("token", odds.alias("odds"), z.alias("z")).filter("abs(z) > 2").orderBy(F.desc(F.abs("z")), "token").limit(most_tokens)
+    strong = counts.filter("y1 + y0 >= 3").select("token", odds.alias("odds"), z.alias("z")).filter("abs(z) > 2")  # of the sample's tokens
     model = Model({r["token"]: r["odds"] for r in strong.collect()})
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import components, minhash, repeats, suffix_array, suffix_tree
 from tests.llm.cases import rows, table
@@ -39,9 +40,10 @@ def check_bytes(spark, data, window, gram):
     want = collections.Counter()
     for r, b, marks in zip(data, units, covered(units, window)):
         runs = sum(c and not (i and marks[i - 1]) for i, c in enumerate(marks))
-        want[(r[0], len(b), sum(marks), runs, hashlib.sha256(bytes(x for x, c in zip(b, marks) if not c)).hexdigest())] += 1
+        kept = bytes(x for x, c in zip(b, marks) if not c)
+        want[(r[0], len(b), sum(marks), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))] += 1
     got = suffix_array.remove_repeated_bytes(table(spark, data), window, gram).collect()
-    assert collections.Counter((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert collections.Counter((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["text"]) for r in got) == want
 
 
 def tangled(n=40):
@@ -74,13 +76,43 @@ def test_hot_keys_and_stretches(spark, monkeypatch):
 def test_stretches_change_nothing(monkeypatch):
     unit = repeats.Unit(words=False, length=40, gram=8)
     data = np.frombuffer(" ".join(r[1] for r in tangled(10)).encode(), np.uint8)
-    whole = repeats.anchors(unit, data, repeats.LETTER_VALUES[data], np.array([0, len(data)]))
+    grams, firsts = unit.grams(data, (None, None)), np.array([0, len(data)])
+    whole = repeats.anchors(unit, grams, firsts)
     monkeypatch.setattr(repeats, "STRETCH", 97)
-    cut = repeats.anchors(unit, data, repeats.LETTER_VALUES[data], np.array([0, len(data)]))
+    cut = repeats.anchors(unit, grams, firsts)
     spread = lambda g: [(a + k, p) for a, b, p in zip(g["a"], g["b"], g["p"]) for k in range(b - a + 1)]
     assert spread(whole) == spread(cut)
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def mirrored():
+    """Pairs of texts that differ in one very long word only, a Thue-Morse word or its complement, where linear hashes agree."""
+    same = " ".join(f"s{i}" for i in range(34))
+    return [(2 * k + j, f"{same} {thue_morse(1024 << k, ab)}", "en", "s", 0, "d", 1, "z") for k in range(3) for j, ab in enumerate(("ab", "ba"))]
+
+
+def test_linear_collisions_are_told_apart(spark):
+    assert check_words(spark, mirrored(), 35, 6) == 0
+    check_bytes(spark, mirrored(), 400, 32)
+    lone = [(r[0], r[1].split(" ")[-1], *r[2:]) for r in mirrored()]
+    assert collections.Counter(tuple(r) for r in minhash.near_duplicates(table(spark, lone)).collect()) == brute_components(lone)
+
+
+def test_planted_passages(spark):
+    """Passages of 400 bytes and more are found wherever they stand; shorter ones stay."""
+    import random
+
+    rnd = random.Random(8)
+    own = lambda n: " ".join(f"{rnd.randrange(10**6)}" for _ in range(n))
+    passages = [own(n) for n in (30, 55, 60, 90, 200)]
+    data = [(k, f"{own(rnd.randint(0, 80))} {passages[k % 5]} {own(rnd.randint(0, 80))}", "en", "s", 0, "d", 1, "z") for k in range(400)]
+    check_bytes(spark, data, 400, 32)
+    assert check_words(spark, data, 35, 6) > 0
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 100, 700).astype(np.uint8)
@@ -138,20 +170,19 @@ def chained(n=40):
     return [(k, " ".join(words[4 * k : 4 * k + 60]), "en", "s", 0, "d", 1, "z") for k in range(n)]
 
 
-def test_chains_and_crowds(spark, monkeypatch):
+def test_chains(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in minhash.near_duplicates(table(spark, chained())).collect()) == brute_components(chained())
-    monkeypatch.setattr(minhash, "FAN", 2)
+    monkeypatch.setattr(minhash, "neighbours", lambda orders: orders.select(F.col("class").alias("x"), F.col("class").alias("y")).limit(0))  # the regions alone
     assert collections.Counter(tuple(r) for r in minhash.near_duplicates(table(spark, chained())).collect()) == brute_components(chained())
 
 
-def test_crowded_regions_get_deeper(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(minhash, "CROWD", 3)
-    data = [(0, 7, k, bytes([k % 2] * minhash.HASHES)) for k in range(8)] + [(0, 9, 20, bytes(minhash.HASHES))]
-    df = spark.createDataFrame(data, "tree int, key long, class long, sig binary")
-    got = minhash.crowded_apart(df, F.col("sig"))
-    assert got.select("key").distinct().count() == 3 and got.count() == 9
+def test_neighbours_share_the_base_prefix(spark):
+    rng = np.random.default_rng(4)
+    keys = {k: bytes([0]) + bytes(rng.integers(0, 2, 4 * minhash.DEPTH, dtype=np.uint8) * (np.arange(4 * minhash.DEPTH) % 4 == 3).astype(np.uint8)) for k in range(200)}
+    got = {tuple(r) for r in minhash.neighbours(spark.createDataFrame([(v, k) for k, v in keys.items()], "order binary, class long").coalesce(1)).collect()}
+    order = sorted(keys, key=lambda k: (keys[k], k))
+    every = {(min(a, b), max(a, b)) for a, b in zip(order, order[1:]) if keys[a][: minhash.PREFIX] == keys[b][: minhash.PREFIX]}
+    assert got <= every and len(every) - len(got) < 8  # rows at the edges of ranges
 
 
 def templated(n=40, linked=24):
@@ -168,14 +199,49 @@ def templated(n=40, linked=24):
 
 
 def test_crowded_regions_are_searched_whole(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CROWD", 6)
+    monkeypatch.setattr(minhash, "ROWS", 6)
     want = brute_components(templated())
     assert len({k[2] for k in want}) == 40  # each linked text has one partner
     assert collections.Counter(tuple(r) for r in minhash.near_duplicates(table(spark, templated())).collect()) == want
 
 
+def test_keep_one(spark):
+    data = rows() + [(5, chained()[1][1], "en", "s", 0, "d", 1, "z"), (6, chained()[1][1] + " end", "de", "s", 0, "d", 1, "z")]
+    kept = minhash.keep_one(table(spark, data))
+    assert kept.columns == table(spark, []).columns
+    got = [tuple(r) for r in kept.collect()]
+    texts = {r[1] for r in got}
+    assert not (chained()[1][1] in texts and chained()[1][1] + " end" in texts)
+    want = brute_components(data)
+    linked = {(r[2], r[1]) for r in want if r[1]}
+    with_words = [r for r in got if WORD.search(r[1] or "")]
+    assert len({(r[0], r[1]) for r in with_words}) >= len({c for c, _ in linked})
+    again = minhash.near_duplicates(table(spark, [(k, *r[1:]) for k, r in enumerate({r[:2]: r for r in with_words}.values())]))
+    assert again.filter("NOT kept").count() == 0  # no two of those that stay are near-duplicates
+
+
+def test_group_finds_every_component(monkeypatch):
+    rng = np.random.default_rng(1)
+    for step in (1, 10**6):
+        monkeypatch.setattr(minhash, "STEP", step)
+        base = rng.integers(0, 2**62, (4, 40), dtype=np.uint64)
+        sets = [np.unique(np.concatenate((rng.permutation(base[k % 4])[: rng.integers(30, 40)], rng.integers(0, 2**62, rng.integers(0, 8), dtype=np.uint64)))) for k in range(60)]
+        link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+        want, parent = [(i, j) for i in range(60) for j in range(i) if link(sets[i], sets[j])], list(range(60))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in minhash.Group([(k, k, 0, s.tobytes()) for k, s in enumerate(sets)], 75).links():
+            assert (max(x, y), min(x, y)) in want
+            parent[find(x)] = find(y)
+        assert want and all(find(i) == find(j) for i, j in want)
+
+
 def test_blocks_meet_once(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CROWD", 4)
+    monkeypatch.setattr(minhash, "ROWS", 4)
     rng = np.random.default_rng(3)
     data = [(g, 1000 * g + k, int(c), int(n)) for g in (1, 2) for k, (c, n) in enumerate(zip(rng.choice([5, 5, 5, 6, 7, 8], 30), rng.choice([60, 75, 80, 100, 134, 400], 30)))]
     tasks = collections.defaultdict(list)

@@ -45,6 +45,21 @@ def test_bpe_query_cases(spark, reference):
     assert got == want and bpe.round_trip(table(spark, []), PATH).count() == 0
 
 
+def test_colliding_and_many_words(reference):
+    """Thue-Morse words and their complements, where linear hashes agree, and words whose sort hash is made to agree."""
+    pairs = [["".join(ab[bin(i).count("1") % 2] for i in range(n)) for ab in ("ab", "ba")] for n in (512, 1024, 2048, 4096)]
+    texts = [t for p in pairs for t in p] + [" ".join(p) for p in pairs]
+    assert [np.frombuffer(g, "<u4").tolist() for g in ENCODER.encode(texts)] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_of_one_hash_are_told_apart(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "mix", lambda h: h & np.uint64(3))
+    encoder = bpe.Encoder(bpe.vocabulary(PATH), cached=40)
+    for k in range(4):
+        texts = [" ".join(f"word{i * k} é{i}" for i in range(30 * k)), "a\0", "a", "\0\0 \0"]
+        assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_long_words_and_runs(reference):
     texts = ["a" * 500, "ab" * 300, " " * 100, "é" * 200, "\n" * 77 + "x", "<|endoftext|>", "x<|endoftext|><|endoftext|> y"]
     assert [np.frombuffer(g, "<u4").tolist() for g in ENCODER.encode(texts)] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
@@ -85,12 +100,22 @@ def test_digest_index_persists(spark, tmp_path):
     again = exact_dedup.DigestIndex(spark, "digests_again", 4, f"file://{tmp_path}/index").open()
     later = spark.createDataFrame([(9, "a"), (8, "c")], "doc_id long, text string")
     assert [r["doc_id"] for r in exact_dedup.drop_copies(later, again).collect()] == [8]
-    assert again.files().count() == 3
+    assert again.table().count() == 3
+    assert {tuple(r)[:4] for r in exact_dedup.exact_dedup(later, again).collect()} == {(9, 2, 1, False), (8, 8, 1, True)}
     plan = later.select(exact_dedup.digest(F.col("text")).alias("digest")).join(again.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # the index is read in its buckets
     spark.sql("DROP TABLE digests_again")
 
 
+def test_drop_copies_leaves_one_row(spark):
+    got = exact_dedup.drop_copies(table(spark)).collect()
+    keep = {}
+    for r in rows():
+        keep[r[1] or ""] = max(keep.get(r[1] or "", -1), -1 if r[0] is None else r[0])
+    assert collections.Counter((r["text"] or "", -1 if r["doc_id"] is None else r["doc_id"]) for r in got) == collections.Counter(keep.items())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lodestone_digests")]
+
+
 def brute_quality(text):
     text = text or ""
     words = WORD.findall(text)
@@ -215,36 +240,96 @@ def test_packing(spark, reference):
     assert packing.best_fit_pack(table(spark, []), PATH).count() == 0
 
 
-def test_plan_places_each_once():
+def best_fit(sizes, capacity):
+    """Number of sequences of best fit on falling sizes, one by one."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("low, high", [(1, 12), (20, 100), (30, 64)])
+def test_packing_against_best_fit(spark, monkeypatch, low, high):
+    import random
+
+    rnd = random.Random(low)
+    sizes = [rnd.randint(low, high) for _ in range(1500)] + [high] * 500
+    data = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "cut_pieces", lambda docs, *_: docs)
+    got = packing.best_fit_pack(data, PATH, 100).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(sizes))
+    fill = collections.defaultdict(list)
+    for r in got:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in fill.values():
+        ends = [o + n for o, n in sorted(places)]
+        assert ends[-1] <= 100 and [o for o, _ in sorted(places)] == [0, *ends[:-1]]
+    assert len(fill) <= 1.02 * best_fit(sizes, 100) + 1
+
+
+def test_sweep_gives_each_bundle_a_gap():
     import random
 
     rnd = random.Random(1)
-    for _ in range(30):
-        sizes = {rnd.randint(1, 50): rnd.randint(1, 40) for _ in range(12)}
-        fill = collections.defaultdict(list)
-        ranks = collections.Counter()
-        for size, first, number, sequence, offset in packing.plan_runs(sizes, 50):
-            assert first == ranks[size]
-            ranks[size] += number
-            for k in range(number):
-                fill[sequence + k].append((offset, size))
-        assert ranks == collections.Counter(sizes)
-        for places in fill.values():
-            ends = [o + s for o, s in sorted(places)]
-            assert ends[-1] <= 50 and [o for o, _ in sorted(places)] == [0, *ends[:-1]]
+    for _ in range(200):
+        left = {rnd.randint(1, 50): rnd.randint(1, 400) for _ in range(12)}
+        room = {rnd.randint(1, 50): rnd.randint(1, 40) for _ in range(12)}
+        gaps = [g for g in sorted(room) for _ in range(room[g])]
+        used = set()
+        for size, bundle, n, place in packing.sweep(left, room, 12):
+            assert bundle * n <= left[size] and not used & set(range(place, place + n))
+            used |= set(range(place, place + n))
+            assert all(gaps[p] >= bundle * size for p in range(place, place + n))
+        singles = sum(n for _, b, n, _ in packing.sweep(left, room, 1))
+        most, free = 0, list(gaps)  # the greatest number of pieces that can have a gap each
+        for s in sorted(s for s, n in left.items() for _ in range(n)):
+            if fit := [g for g in free if g >= s]:
+                free.remove(min(fit))
+                most += 1
+        assert singles == most
 
 
 def test_chat_cases(spark):
     turns = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "good"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "bad"),
-        (2, "chosen", 0, "user", "a"), (2, "chosen", 0, "user", "a"), (2, "rejected", 0, "user", "a"), (3, "chosen", 0, None, None), (3, "rejected", 0, None, None), (None, "chosen", None, "user", "x"),
+        (2, "chosen", 0, "user", "a"), (2, "chosen", 0, "user", "a"), (2, "rejected", 0, "user", "b"), (3, "chosen", 0, None, None), (3, "rejected", 0, None, None), (None, "chosen", None, "user", "x"),
     ]
-    got = chat.format_preferences(spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string")).collect()
-    parts = collections.Counter((r["pair_id"], r["part"], r["turn"]) for r in got)
-    assert parts == {(1, "prompt", 0): 1, (1, "chosen", 1): 1, (1, "rejected", 1): 1, (2, "chosen", 0): 2, (2, "rejected", 0): 1, (3, "prompt", 0): 1, (None, "chosen", None): 1}
-    good = next(r for r in got if r["part"] == "chosen" and r["pair_id"] == 1)
-    assert good["rendered"][good["loss_start"] : good["loss_end"]] == "good<|im_end|>\n"
-    assert all(r["loss_end"] == 0 for r in got if r["part"] == "prompt")
+    got = {r["pair_id"]: r for r in chat.format_preferences(spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string")).collect()}
+    assert set(got) == {1, 2, 3, None}
+    assert got[1]["prompt"] == "<|im_start|>user\nhi<|im_end|>\n" and learnt(got[1], "chosen") == ["good<|im_end|>\n"] and learnt(got[1], "rejected") == ["bad<|im_end|>\n"]
+    assert (got[2]["prompt"], got[2]["chosen"]) == ("", "<|im_start|>user\na<|im_end|>\n") and got[2]["chosen_loss"] == ""
+    assert got[3]["chosen"] == got[3]["rejected"] == "" and got[3]["prompt"] == "<|im_start|>\n<|im_end|>\n"
+    assert got[None]["chosen"].startswith("<|im_start|>user\nx") and got[None]["rejected"] == ""
+
+
+def learnt(record, side):
+    cuts = [tuple(map(int, c.split("-"))) for c in record[f"{side}_loss"].split(",") if c]
+    return [record[side][a:b] for a, b in cuts]
+
+
+def test_long_records_go_on(spark):
+    turns = [(1, side, k, ("user", "assistant")[k % 2], f"{k}" if k < 30 else f"{side}{k}") for side in ("chosen", "rejected") for k in range(60)]
+    turns += [(2, "chosen", 0, "user", f"v{k}") for k in range(40)]
+    rows = chat.format_preferences(spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string"), chunk=8).collect()
+    one = sorted((r for r in rows if r["pair_id"] == 1), key=lambda r: r["chunk"])
+    assert [r["chunk"] for r in one] == [0, 1, 2, 3]
+    for part, wanted in (("prompt", range(30)), ("chosen", range(30, 60)), ("rejected", range(30, 60))):
+        text = "".join(r[part] for r in one)
+        assert re.findall(r"\n([a-z]*)(\d+)<", text) == [("" if part == "prompt" else part, str(k)) for k in wanted]
+    assert [x for r in one for x in learnt(r, "rejected")] == [f"rejected{k}<|im_end|>\n" for k in range(31, 60, 2)]
+    two = [r for r in rows if r["pair_id"] == 2]
+    assert len(two) > 1 and sorted(x for r in two for x in re.findall(r"v\d+", r["chosen"])) == sorted(f"v{k}" for k in range(40))
+
+
+def test_other_answers(spark):
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "a2"), (2, 2, "user", "thanks"), (3, 0, "user", "q3"), (3, 1, "assistant", "a3"), (4, 0, "user", "alone"), (5, 0, "user", "u"), (5, 0, "assistant", "x"), (None, 0, "user", "n"), (None, None, "assistant", "m")]
+    got = {r["pair_id"]: r for r in chat.format_preferences(chat.with_other_answers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert (learnt(got[2], "chosen"), learnt(got[2], "rejected")) == (["a2<|im_end|>\n"], ["a3<|im_end|>\n"]) and "thanks" not in got[2]["prompt"] + got[2]["chosen"]
+    assert got[4]["prompt"] and not got[4]["chosen"] and "x<" in got[5]["chosen"] and "x<" not in got[5]["rejected"]
+    assert learnt(got[None], "chosen") == ["m<|im_end|>\n"] and got[None]["rejected"] == ""
 
 
 def test_schema_is_used():
