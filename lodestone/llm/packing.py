@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of bounded length, in bulk-synchronous rounds.
 
 Pieces of documents and gaps (the free ends of open sequences) are tables; both are
-range-sorted by size, and each row gets its rank among the rows of its size. A round
+range-sorted by size, and each row gets its rank among the rows of its size. Pieces of
+over half a sequence go first, then those of over a quarter, then the rest. A round
 takes the largest pieces that can all have a gap of their own, one a gap. The successor
 of a piece is the first gap, by rising size, that holds it; several pieces with one
 successor are moved on by their rank (a piece's place is its own rank plus the
@@ -14,8 +15,10 @@ small size go several at a time. The driver sees only counts by size, at most
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -118,12 +121,17 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
         return cut.select("*", F.lit(None).cast("bigint").alias("sequence_id"), F.lit(None).cast("bigint").alias("offset"))
     pieces = materialise(ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], sum(left.values())), "ranked")
     gaps = spark.range(0).select(F.col("id").alias("sequence_id"), F.lit(0).cast("bigint").alias("used"), F.lit(capacity).cast("bigint").alias("gap"))
-    taken, opened, placed = dict.fromkeys(left, 0), 0, []
+    taken, opened, placed, floors = dict.fromkeys(left, 0), 0, [], [capacity // 2, capacity // 4, 0]
     room: dict[int, int] = {}
     while left:
-        runs = sweep(left, room, capacity // SHARE) or sweep(left, room, 1)
+        band = {s: n for s, n in left.items() if s > floors[0]}
+        if not band:
+            floors.pop(0)
+            continue
+        runs = sweep(band, room, capacity // SHARE) or sweep(band, room, 1)
         if not runs:
-            more = max(sum(n for s, n in left.items() if 2 * s > capacity), -(-sum(s * n for s, n in left.items()) // capacity))
+            # As many as one size alone would take; small pieces mix, so for them what they fill, and a hundredth so that few are left over.
+            more = math.ceil(sum(Fraction(n, capacity // s) if floors[0] else Fraction(101 * s * n, 100 * capacity) for s, n in band.items()))
             new = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(0).cast("bigint").alias("used"), F.lit(capacity).cast("bigint").alias("gap"))
             gaps, opened, room = gaps.unionByName(new), opened + more, room | {capacity: room.get(capacity, 0) + more}
             continue

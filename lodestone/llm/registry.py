@@ -88,9 +88,9 @@ def oracle_sql() -> dict[str, str]:
                 SELECT conv_id, turn AS last_turn, text AS answer FROM c WHERE role = 'assistant'
                 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1),
             j AS (
-                SELECT c.*, last_turn, a.answer, o.answer AS instead
+                SELECT c.*, a.last_turn, a.answer, o.answer AS instead
                 FROM c LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN a AS o ON xor(c.conv_id, 1) = o.conv_id
-                WHERE last_turn IS NULL OR turn <= last_turn),
+                WHERE a.last_turn IS NULL OR c.turn <= a.last_turn),
             sides AS (
                 SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM j
                 UNION
