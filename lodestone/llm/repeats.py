@@ -296,7 +296,7 @@ def repeated_spans(rows: DataFrame, unit: Unit, solve: Solver) -> DataFrame:
         several = materialise(found.groupBy("key").count().filter("count > 1").select("key"), "keys")
         live = materialise(found.join(several, "key", "left_semi"), "live")
         by_run = materialise(live.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("alike"), F.min(F.struct(*REF, "a")).alias("one")), "runs")
-        by_key = by_run.groupBy("key").agg(F.count(F.lit(1)).alias("runs"))
+        by_key = materialise(by_run.groupBy("key").agg(F.count(F.lit(1)).alias("runs")), "by-key")
         per_run = materialise(by_run.join(by_key, "key"), "runs")
         stands = F.struct(*REF, "a") == F.col("one")
         kind = F.when(F.col("alike") == 1, 1).when(stands & (F.col("runs") > 1), 2).otherwise(0) + F.when(F.col("runs") > HOT, 4).otherwise(0)
