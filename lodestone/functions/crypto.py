@@ -1,9 +1,9 @@
 """Authenticated encryption of containers with Spark's own AES-GCM.
 
-A container's chunks become rows; each payload is encrypted by ``aes_encrypt`` in the
+A container's chunks become an array; each payload is encrypted by ``aes_encrypt`` in the
 JVM under its own nonce (base XOR index + 1), bound to its tag and place by the
-associated data, and the chunks are put together again. Keys come from a password by
-PBKDF2 on the driver, one a call. Argon2 and device keys need what is not here and are refused.
+associated data, and the chunks are put together again, all within the row. Keys come
+from a password by PBKDF2. Argon2 and device keys need what is not here and are refused.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ PAYLOADS = ("META", "CONT", "HIST", "RTBL", "OTBL", "OFMT", "OBYT", "BLOB", "KID
 FRAME = T.StructType(
     [
         T.StructField("header", T.BinaryType()), T.StructField("encr", T.StringType()), T.StructField("error", T.StringType()),
-        T.StructField("parts", T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("nth", T.IntegerType())]))),
+        T.StructField("parts", T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("nth", T.IntegerType()), T.StructField("nonce", T.BinaryType())]))),
     ]
 )
 
@@ -42,21 +42,28 @@ def device_key() -> bytes:
 
 
 @F.pandas_udf(FRAME)
-def split_frame(data: pd.Series) -> pd.DataFrame:
-    """Header, chunks in order (payload chunks numbered), and what is wrong."""
+def split_frame(data: pd.Series, base: pd.Series) -> pd.DataFrame:
+    """Header, ENCR note, chunks in order (payload chunks numbered, with their nonces), and what is wrong.
+
+    Nonces come from ``base``, or from the note where that is null.
+    """
     rows = []
-    for d in data:
+    for d, given in zip(data, base):
         try:
             d = bytes(d or b"")
             _, parts = checked(d)
             encr = next((p.decode() for t, p in parts if t == b"ENCR"), None)
+            start = bytes(given) if given is not None else base64.b64decode(json.loads(encr).get("nonce") or "") if encr else bytes(NONCE)
+            if len(start) != NONCE:
+                raise ContainerError("the nonce is malformed, the file is damaged")
             n, out = 0, []
             for tag, payload in parts:
                 name = tag.decode("latin-1")
                 if name == "ENCR":
                     continue
                 numbered = name in PAYLOADS and payload
-                out.append({"tag": name, "payload": payload, "nth": n if numbered else None})
+                nonce = (int.from_bytes(start, "big") ^ (n + 1)).to_bytes(NONCE, "big") if numbered else None
+                out.append({"tag": name, "payload": payload, "nth": n if numbered else None, "nonce": nonce})
                 n += bool(numbered)
             rows.append((d[: HEADER_SIZE], encr, None, out))
         except (ContainerError, ValueError) as error:
@@ -76,64 +83,74 @@ def join_frame(header: pd.Series, encr: pd.Series, tags: pd.Series, payloads: pd
     return pd.Series([one(*row) for row in zip(header, encr, tags, payloads)])
 
 
-@F.pandas_udf(T.BinaryType())
-def chunk_nonce(base: pd.Series, nth: pd.Series) -> pd.Series:
-    return pd.Series([(int.from_bytes(bytes(b), "big") ^ (int(n) + 1)).to_bytes(NONCE, "big") if n == n and n is not None and b is not None else bytes(NONCE) for b, n in zip(base, nth)])
-
-
-def _aad():
-    place = F.unhex(F.lpad(F.hex(F.coalesce("p.nth", F.lit(0))), 8, "0"))
-    return F.concat(F.lit(AAD), F.encode("p.tag", "ISO-8859-1"), place)
+def _aad(p):
+    return F.concat(F.lit(AAD), F.encode(p["tag"], "ISO-8859-1"), F.unhex(F.lpad(F.hex(p["nth"]), 8, "0")))
 
 
-def _chunked(framed: DataFrame) -> DataFrame:
-    return framed.select("object_id", "f.header", "f.encr", "f.error", "base", F.posexplode_outer("f.parts").alias("at", "p"))
-
-
-def _joined(rows: DataFrame, note) -> DataFrame:
-    """Chunks of an object back in order; a container is one file, so they fit in a row."""
-    listed = rows.groupBy("object_id").agg(
-        F.first("header").alias("header"), F.max("error").alias("error"), F.array_sort(F.collect_list(F.struct("at", F.col("p.tag").alias("tag"), "body"))).alias("parts"), F.first(note, True).alias("note")
-    )
-    whole = join_frame("header", "note", F.transform("parts", lambda x: x["tag"]), F.transform("parts", lambda x: x["body"]))
-    return listed.select("object_id", F.when(F.col("error").isNull(), whole).alias("container"), "error")
+def _whole(note):
+    """The container of ``header`` and ``bodies`` (tags as in f.parts), where there is no error."""
+    header = F.when(F.col("error").isNull(), F.col("f.header"))  # no header, no container
+    return join_frame(header, note, F.transform("f.parts", lambda p: p["tag"]), "bodies").alias("container")
 
 
 def encrypt_containers(rows: DataFrame, password: str, salt: bytes | None = None, nonce: bytes | None = None) -> DataFrame:
-    """object_id, container (encrypted), error of rows (object_id, container); encrypted ones are refused.
+    """object_id, container (encrypted), error of rows (object_id, container); encrypted ones are refused. Rows are independent.
 
     One salt (hence one key derivation) a call; the base nonce of each container is derived from the given
-    random one and its id, so no nonce comes twice under the key. Pass salt and nonce only to repeat a result.
+    random one and its content, so no nonce comes twice under the key. Pass salt and nonce only to repeat a result.
     """
     salt, nonce = salt or secrets.token_bytes(SALT), nonce or secrets.token_bytes(32)
     key = password_key(password, salt)
     base = F.substring(F.unhex(F.sha2(F.concat(F.lit(nonce), F.unhex(F.sha2("container", 256))), 256)), 1, NONCE)
-    framed = rows.select("object_id", split_frame("container").alias("f"), base.alias("base"))
-    parts = _chunked(framed).withColumn("error", F.when(F.col("encr").isNotNull(), "this container is already encrypted").otherwise(F.col("error")))
-    sealed = F.aes_encrypt(F.col("p.payload"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), chunk_nonce("base", "p.nth"), _aad())
-    body = F.when(F.col("p.nth").isNotNull(), F.expr(f"substring(__sealed, {NONCE + 1})")).otherwise(F.col("p.payload"))  # the nonce is in the header, not in front
-    done = parts.withColumn("__sealed", sealed).withColumn("body", body)
-    tags = F.filter(F.transform("f.parts", lambda x: F.when(x["nth"].isNotNull(), x["tag"])), lambda t: t.isNotNull())
+    framed = rows.select("object_id", split_frame("container", base).alias("f"), base.alias("base"))
+
+    def seal(p):
+        sealed = F.aes_encrypt(p["payload"], F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), p["nonce"], _aad(p))
+        return F.when(p["nth"].isNotNull(), F.substring(sealed, NONCE + 1, 2**31 - 1)).otherwise(p["payload"])  # the nonce is in the note, not in front
+
+    error = F.when(F.col("f.encr").isNotNull(), "this container is already encrypted").otherwise(F.col("f.error"))
+    tags = F.transform(F.filter("f.parts", lambda p: p["nth"].isNotNull()), lambda p: p["tag"])
     fixed = {"v": 1, "salt": base64.b64encode(salt).decode(), "mode": "password", "kdf": "pbkdf2-sha256", "kdf_params": {"iterations": ITERATIONS, "hash": "sha256"}}
-    notes = framed.select("object_id", F.concat(F.lit(json.dumps(fixed)[:-1] + ', "nonce": "'), F.base64("base"), F.lit('", "chunks": '), F.to_json(tags), F.lit("}")).alias("note"))
-    return _joined(done.join(notes, "object_id"), "note")
+    note = F.concat(F.lit(json.dumps(fixed)[:-1] + ', "nonce": "'), F.base64("base"), F.lit('", "chunks": '), F.to_json(tags), F.lit("}"))
+    done = framed.select("object_id", "f", error.alias("error"), F.transform("f.parts", seal).alias("bodies"), note.alias("note"))
+    return done.select("object_id", _whole("note"), "error")
 
 
-def decrypt_containers(rows: DataFrame, password: str, salt: bytes) -> DataFrame:
-    """object_id, container (plain), error: wrong passwords, changed chunks and plain containers are told apart by their error."""
-    key = password_key(password, salt)
-    framed = rows.select("object_id", split_frame("container").alias("f")).withColumn("base", F.unbase64(F.get_json_object("f.encr", "$.nonce")))
-    parts = _chunked(framed)
-    given = F.concat(chunk_nonce("base", "p.nth"), F.col("p.payload"))
-    opened = F.try_aes_decrypt(given, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), _aad())
-    body = F.when(F.col("p.nth").isNotNull(), F.col("__opened")).otherwise(F.col("p.payload"))
+def decrypt_containers(rows: DataFrame, password: str) -> DataFrame:
+    """object_id, container (plain), error of rows (object_id, container); containers of different salts may come together.
+
+    Salt, derivation and nonce are those of each container's own note; a salt's key is
+    derived once a batch. Wrong passwords, changed chunks, chunks that the note lists but
+    that are missing, and plain containers are told apart by their error. Rows are independent.
+    """
+
+    @F.pandas_udf(T.BinaryType())
+    def key_of(salts: pd.Series) -> pd.Series:
+        keys = {s: password_key(password, base64.b64decode(s)) for s in salts.dropna().unique()}
+        return salts.map(keys.get)
+
+    of = lambda field: F.get_json_object("f.encr", f"$.{field}")
+    framed = rows.select("object_id", split_frame("container", F.lit(None).cast("binary")).alias("f"))
+    usable = (of("mode") == "password") & (F.coalesce(of("kdf"), F.lit("pbkdf2-sha256")) == "pbkdf2-sha256")
+    keyed = framed.select("object_id", "f", usable.alias("usable"), of("kdf").alias("kdf"), of("mode").alias("mode"), of("chunks").alias("listed"), key_of(F.when(usable, of("salt"))).alias("key"))
+
+    def open_one(p):
+        opened = F.try_aes_decrypt(F.concat(p["nonce"], p["payload"]), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), _aad(p))
+        return F.when(p["nth"].isNotNull() & F.col("key").isNotNull(), opened).otherwise(p["payload"])
+
+    opened = keyed.withColumn("bodies", F.transform("f.parts", open_one))
+    present = F.array_sort(F.array_distinct(F.transform(F.filter("f.parts", lambda p: p["nth"].isNotNull()), lambda p: p["tag"])))
+    listed = F.array_sort(F.array_distinct(F.coalesce(F.from_json("listed", "array<string>"), F.array().cast("array<string>"))))
     why = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("encr").isNull(), "the container is not encrypted")
-        .when(F.get_json_object("encr", "$.mode") != "password", "the container was not encrypted with a password")
-        .when(F.col("p.nth").isNotNull() & F.col("__opened").isNull(), "wrong password, or the container was modified")
+        F.when(F.col("f.error").isNotNull(), F.col("f.error"))
+        .when(F.col("f.encr").isNull(), "the container is not encrypted")
+        .when(F.coalesce("mode", F.lit("")) != "password", "the container was not encrypted with a password")
+        .when(~F.col("usable"), F.concat(F.lit("key derivation "), "kdf", F.lit(" is not available here")))
+        .when(F.exists("bodies", lambda b: b.isNull()), "wrong password, or the container was modified")
+        .when((F.size(listed) > 0) & (listed != present), "the note lists other chunks than the container has, it was modified")
     )
-    return _joined(parts.withColumn("__opened", opened).withColumn("error", why).withColumn("body", F.coalesce(body, F.lit(b""))).withColumn("nothing", F.lit(None).cast("string")), "nothing")
+    done = opened.select("object_id", "f", "bodies", why.alias("error"), F.lit(None).cast("string").alias("note"))
+    return done.select("object_id", _whole("note"), "error")
 
 
 def is_encrypted(container) -> "F.Column":

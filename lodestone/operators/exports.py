@@ -115,9 +115,11 @@ def export_bytes(content: dict, blobs: dict, data: bytes, name: str, fmt: str, t
 
 
 def export_objects(objects: DataFrame, target: str) -> DataFrame:
-    """object_id, data, filename, mime, kind, refusal of each object as a ``target`` file; history grows by one row but for containers.
+    """object_id, filename, mime, kind, data, refusal, history of each object as a ``target`` file, in one pass without a shuffle.
 
-    A conversion that doesn't exist or can't be done is a row with its refusal.
+    A conversion that doesn't exist or can't be done is a row with its refusal; only
+    files that were made add a step to the history, with the edge's kind, and containers add none.
+    Rows are independent, so repeated ids are fine.
     """
     import json
     from collections.abc import Iterator
@@ -128,29 +130,33 @@ def export_objects(objects: DataFrame, target: str) -> DataFrame:
     from lodestone.model import EXPORTS, FORMATS
     from lodestone.operators.graph import record
 
+    carried = ["object_id", "original_filename", "detected_format", "history"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
+            out: tuple[list, list] = ([], [])
+            for row in batch.select(["content", "blobs", "original_bytes", "original_filename", "detected_format"]).to_pylist():
                 try:
-                    made = export_bytes(json.loads(row["content"] or "{}"), dict(row["blobs"] or []), row["original_bytes"] or b"", row["original_filename"] or "", row["detected_format"], target)
-                    out.append((row["object_id"], made, None))
+                    made = export_bytes(json.loads(row["content"] or "{}"), dict(row["blobs"] or []), row["original_bytes"] or b"", row["original_filename"] or "", row["detected_format"], target), None
                 except Exception as error:
-                    out.append((row["object_id"], None, str(error) or type(error).__name__))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string()))], names=["object_id", "data", "refusal"])
+                    made = None, str(error) or type(error).__name__
+                for column, value in zip(out, made):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out[0], pa.binary()), pa.array(out[1], pa.string())], names=[*carried, "data", "refusal"])
 
     if target == "sfp":
         from lodestone.sources.files import to_containers
 
-        made = to_containers(objects).select("object_id", F.col("container").alias("data"), F.lit(None).cast("string").alias("refusal"))
+        made = to_containers(objects, keep=carried[1:]).withColumnRenamed("container", "data").withColumn("refusal", F.lit(None).cast("string"))
     else:
-        made = objects.select("object_id", "content", "blobs", "original_bytes", "original_filename", "detected_format").mapInArrow(run, "object_id string, data binary, refusal string")
+        given = objects.select(*carried, "content", "blobs", "original_bytes")
+        made = given.mapInArrow(run, given.select(*carried).schema.add("data", "binary").add("refusal", "string"))
     extension = FORMATS[target].extension.split(",")[0] if target in FORMATS else target
     kinds = F.create_map(*(x for f, edges in EXPORTS.items() for x in (F.lit(f), F.lit(dict(edges).get(target, "")))))
     kind = F.nullif(kinds[F.col("detected_format")], F.lit(""))
-    history = record(F.col("history"), f"export:{target}", F.lit(f"exported as {target}"), "LOSSLESS")
-    named = objects.select(
-        "object_id", F.concat(stem(F.col("original_filename")), F.lit("." + (extension or "bin"))).alias("filename"), F.lit(FORMATS[target].mime if target in FORMATS else "text/plain").alias("mime"), kind.alias("kind"),
-        (F.col("history") if target == "sfp" else history).alias("history"),
-    )
-    return named.join(made, "object_id")
+    named = made.withColumns({"filename": F.concat(stem(F.col("original_filename")), F.lit("." + (extension or "bin"))), "kind": kind})
+    detail = F.concat(F.lit("exported to "), "filename", F.lit(" ["), "kind", F.lit("]"))
+    longer = record(F.col("history"), f"export:{target}", detail, F.col("kind"), F.to_json(F.struct(F.lit(target).alias("format"))))
+    mime = F.lit(FORMATS[target].mime if target in FORMATS else "text/plain").alias("mime")
+    history = F.col("history") if target == "sfp" else F.when(F.col("refusal").isNull(), longer).otherwise(F.col("history"))
+    return named.select("object_id", "filename", mime, "kind", "data", "refusal", history.alias("history"))

@@ -51,7 +51,7 @@ def summary(objects: DataFrame, edges: DataFrame) -> DataFrame:
     return objects.join(counts, "object_id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
 
 
-def record(history: Column, action: str, detail: Column, kind: str = "LOSSLESS", params: Column | None = None, ts: Column | None = None) -> Column:
+def record(history: Column, action: str, detail: Column, kind: str | Column = "LOSSLESS", params: Column | None = None, ts: Column | None = None) -> Column:
     """history with one more step, numbered on."""
     history = F.coalesce(history, F.array().cast(f"array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in HISTORY.split(', '))}>>"))
     step = F.struct(

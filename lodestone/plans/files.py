@@ -166,10 +166,10 @@ def sfp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), F.sha2(F.coalesce("original_bytes", F.lit(b"")), 256).alias("checksum"), "steps")
 
 
-@query("SELECT doc_id, true AS sealed, true AS hidden, sha256(coalesce(text, '')) AS checksum FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, true AS sealed, true AS hidden, sha256(coalesce(text, '')) AS checksum FROM documents")
 def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """French documents as containers, encrypted and decrypted; encrypt_roundtrip_all takes every document."""
-    return _sealed_and_opened(docs(spark, sf_dir).filter("lang = 'fr'"))
+    """Every document as a container, encrypted and decrypted."""
+    return _sealed_and_opened(docs(spark, sf_dir))
 
 
 @query("SELECT doc_id, true AS sealed, true AS hidden, sha256(coalesce(text, '')) AS checksum FROM documents")
@@ -184,7 +184,7 @@ def _sealed_and_opened(some: DataFrame) -> DataFrame:
     given = _files(some, "doc_id", F.encode("text", "UTF-8"), F.concat(F.lit("doc"), "doc_id", F.lit(".txt")))
     plain = files.to_containers(files.import_files(given))
     sealed = crypto.encrypt_containers(plain, "secret", salt, nonce)
-    opened = files.from_containers(crypto.decrypt_containers(sealed, "secret", salt))
+    opened = files.from_containers(crypto.decrypt_containers(sealed, "secret"))
     name = F.get_json_object("meta", "$.original_filename")
     facts = sealed.select("object_id", crypto.is_encrypted(F.col("container")).alias("sealed"), (~F.contains(F.decode("container", "ISO-8859-1"), F.lit("original_filename"))).alias("hidden"))
     got = opened.select(F.col("container_id").alias("object_id"), F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), F.sha2(F.coalesce("original_bytes", F.lit(b"")), 256).alias("checksum"))

@@ -175,10 +175,10 @@ def doc_hex_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, lower(coalesce(text, '')) AS text, octet_length(encode(lower(coalesce(text, '')))) AS size, sha256(coalesce(text, '')) AS original_checksum,
-       2 AS steps, 'edit.set_text' AS last_action, 'text replaced (' || length(lower(coalesce(text, ''))) || ' chars)' AS last_detail FROM documents WHERE lang = 'en'""")
+       2 AS steps, 'edit.set_text' AS last_action, 'text replaced (' || length(lower(coalesce(text, ''))) || ' chars)' AS last_detail FROM documents""")
 def doc_set_text_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents edited; doc_set_text_edit_all takes every document."""
-    return _lowered(docs(spark, sf_dir).filter("lang = 'en'"))
+    """Every document edited."""
+    return _lowered(docs(spark, sf_dir))
 
 
 @query("""SELECT doc_id, lower(coalesce(text, '')) AS text, octet_length(encode(lower(coalesce(text, '')))) AS size, sha256(coalesce(text, '')) AS original_checksum,
@@ -307,11 +307,15 @@ def conv_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added.groupBy("src_id", F.element_at(F.split("dst_id", "-"), -1).alias("role")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("""SELECT conv_id, count(*) AS steps, arg_max(role, turn) AS last_action FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, max(turn) + 2 AS steps, 'close' AS action, 'ended after ' || count(*) || ' turns' AS detail, 'STRUCTURAL' AS kind FROM conversations GROUP BY conv_id""")
 def conv_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as history steps of their conversation."""
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("steps"), F.max_by("role", "turn").alias("last_action"))
+    """History of each conversation: a step for each turn number, then one recorded at its end."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.count(F.lit(1)).alias("turns"))
+    first = graph.record(F.lit(None), "turn", F.lit("turn"))
+    steps = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda k: first[0].withField("step", (k + 1).cast("int")))
+    done = graph.record(steps, "close", F.concat(F.lit("ended after "), "turns", F.lit(" turns")), "STRUCTURAL")
+    end = F.element_at(done, -1)
+    return c.select("conv_id", end["step"].cast("bigint").alias("steps"), end["action"].alias("action"), end["detail"].alias("detail"), end["kind"].alias("kind"))
 
 
 @query("""SELECT user_id, ts, event_id FROM (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
@@ -321,12 +325,13 @@ def recent_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recent(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
 
 
-@query(f"""WITH src AS (SELECT doc_id, text FROM documents WHERE lang = 'de'), {_IS_TEXT},
-    s AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size FROM t)
-    SELECT doc_id::VARCHAR AS object_id, 0 AS position, 'FILE' AS stage, 'doc' || doc_id || '.bin' || ' — ' || size || ' bytes' AS detail FROM s""")
+@query("""WITH s AS (SELECT doc_id::VARCHAR AS object_id, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+    n AS (SELECT * FROM (VALUES (0, 'FILE'), (1, 'FORMAT DETECTION'), (2, 'FORMAT ADAPTER'), (3, 'UNIVERSAL OBJECT'), (4, 'OBJECT GRAPH'), (5, 'TRANSFORMATION'), (6, 'EXPORT ADAPTER'), (7, 'TARGET FILE')) v(position, stage))
+    SELECT object_id, position, stage, CASE position WHEN 0 THEN 'doc' || object_id || '.bin — ' || size || ' bytes' WHEN 1 THEN NULL WHEN 2 THEN 'text adapter' WHEN 3 THEN 'TEXT — content ' || chr(39) || 'text' || chr(39)
+        WHEN 4 THEN '0 direct children, 0 relationships' WHEN 5 THEN '1 recorded operations' WHEN 6 THEN '5 real export targets' ELSE 'choose an EXPORT AS target above' END AS detail FROM s, n""")
 def pipeline_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first stage of German documents; pipeline_stages_all has every stage of every document."""
-    return _stages(docs(spark, sf_dir).filter("lang = 'de'")).filter("position = 0")
+    """Every stage of every document; the detection's detail is that of doc_detect and null here."""
+    return _stages(docs(spark, sf_dir)).withColumn("detail", F.when(F.col("position") != 1, F.col("detail")))
 
 
 @query()

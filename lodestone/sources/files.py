@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import plugins
 from lodestone.functions.detect import detect
 from lodestone.functions.scalar import extension, sha256_hex
 from lodestone.model import EXPORTS, FORMATS, LIMITS, object_id
@@ -31,12 +32,12 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 def identify(files: DataFrame) -> DataFrame:
     """files (name, path, data) as objects without content: detection, adapter, checksum, capabilities, export options, first history row.
 
-    A format without an adapter is stored as unknown bytes. Only built-in expressions run here, so a
-    query that asks for no content parses nothing.
+    A format without an adapter is stored as unknown bytes. Only built-in expressions run here (and the
+    detectors of plugins, where there are any), so a query that asks for no content parses nothing.
     """
     known = F.array(*map(F.lit, FORMATS))
     table = lambda attribute: F.create_map(*(x for f in FORMATS.values() for x in (F.lit(f.format), F.lit(getattr(f, attribute)))))
-    found = files.withColumn("found", detect(F.col("data"), F.col("name")))
+    found = files.withColumn("found", plugins.voted(detect(F.col("data"), F.col("name")), F.col("data"), F.col("name")))
     fallback = F.struct(
         F.lit("blob").alias("format_id"), F.lit("Unknown binary").alias("display"), F.lit("application/octet-stream").alias("mime"), F.col("found.extension").alias("extension"),
         F.lit(0.3).alias("confidence"), F.col("found.method").alias("method"), F.concat(F.lit("no adapter for "), F.col("found.format_id"), F.lit(" — preserved as bytes")).alias("notes"), F.lit("BINARY").alias("family"),
@@ -70,9 +71,14 @@ def identify(files: DataFrame) -> DataFrame:
 def parse_objects(objects: DataFrame, column: str = "original_bytes") -> DataFrame:
     """objects with content (JSON), warnings, support_level, blobs and kids: the Arrow stage, a batch of few files at a time."""
 
+    shipped = list(plugins.PLUGINS.values())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lodestone.parsers import parse, pieces, to_json
 
+        for plugin in shipped:
+            plugins.register(plugin)
+
         kid = pa.struct([("name", pa.string()), ("data", pa.binary()), ("relation", pa.string())])
         for part in pieces(batches):
             keys = [n for n in part.schema.names if not n.startswith("__")]
@@ -127,8 +133,9 @@ def extract_archives(objects: DataFrame, limit: int = 200) -> tuple[DataFrame, D
     return files, out.filter("warning IS NOT NULL").select(F.col("src_id").alias("object_id"), "warning")
 
 
-def to_containers(objects: DataFrame) -> DataFrame:
-    """object_id, container: each object with its history and bytes saved as a container."""
+def to_containers(objects: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """object_id, container and the columns ``keep``: each object with its history and bytes saved as a container."""
+    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lodestone.sources.container import Node, dumps
@@ -139,11 +146,14 @@ def to_containers(objects: DataFrame) -> DataFrame:
                 meta = {k: row[k] for k in ("object_id", "object_type", "original_filename", "original_extension", "detected_format", "mime", "size", "checksum", "support_level")}
                 history = [{k: v for k, v in h.items() if k != "ts"} for h in row["history"] or []]
                 out.append(dumps(Node(meta, json.loads(row["content"] or "{}"), history, [], row["original_bytes"], dict(row["blobs"] or []))))
-            yield pa.RecordBatch.from_arrays([batch.column("object_id"), pa.array(out, pa.binary())], names=["object_id", "container"])
+            yield pa.RecordBatch.from_arrays([batch.column("object_id"), pa.array(out, pa.binary()), *(batch.column(c) for c in keep)], names=["object_id", "container", *keep])
 
     needs = ["object_id", "object_type", "original_filename", "original_extension", "detected_format", "mime", "size", "checksum", "support_level", "history", "content", "original_bytes", "blobs"]
     have = objects.select(*(c if c in objects.columns else F.lit(None).cast("map<string, binary>" if c == "blobs" else "string").alias(c) for c in needs))
-    return have.mapInArrow(run, "object_id string, container binary")
+    schema = have.select("object_id").schema.add("container", "binary")
+    for c in keep:
+        schema = schema.add(have.schema[c])
+    return have.mapInArrow(run, schema)
 
 
 def from_containers(rows: DataFrame, column: str = "container") -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -192,14 +193,47 @@ def test_encryption(spark):
     sealed = crypto.encrypt_containers(rows, "pw", salt, b"n" * 32).cache()
     got = {r["object_id"]: r for r in sealed.collect()}
     assert b"xxxxx" not in bytes(got["a"]["container"]) and got["b"]["error"]
-    good = {r["object_id"]: r for r in crypto.decrypt_containers(sealed.filter("error IS NULL"), "pw", salt).collect()}
+    good = {r["object_id"]: r for r in crypto.decrypt_containers(sealed.filter("error IS NULL"), "pw").collect()}
     assert bytes(good["a"]["container"]) == container.dumps(node(1))
-    assert "wrong password" in crypto.decrypt_containers(sealed.filter("error IS NULL"), "no", salt).first()["error"]
+    assert "wrong password" in crypto.decrypt_containers(sealed.filter("error IS NULL"), "no").first()["error"]
     assert "already" in crypto.encrypt_containers(sealed.filter("error IS NULL"), "pw", salt).first()["error"]
+    other = crypto.encrypt_containers(rows.filter("object_id = 'a'"), "pw").cache()  # a salt of its own, and the same id again
+    both = crypto.decrypt_containers(sealed.filter("error IS NULL").unionByName(other), "pw").collect()
+    assert [bytes(r["container"]) for r in both] == [container.dumps(node(1))] * 2
+    frame = bytes(got["a"]["container"])
+    short = frame[: container.HEADER_SIZE] + b"".join(container.chunk(t, p) for t, p in container.checked(frame)[1] if t != b"OBYT")
+    cut = spark.createDataFrame([("a", bytearray(short + container.chunk(b"CKSM", hashlib.sha256(short).digest())))], "object_id string, container binary")
+    assert "modified" in crypto.decrypt_containers(cut, "pw").first()["error"]
     with pytest.raises(ValueError):
         crypto.password_key("p", salt, "argon2id")
 
 
+def test_export_history(spark):
+    objects = imported(spark, ("text", {"text": "x"}), ("json", {"data": {"a": 1}}))
+    rows = exports.export_objects(objects.unionByName(objects), "html").collect()
+    done = [r for r in rows if r["refusal"] is None]
+    assert len(rows) == 4 and done
+    assert all((r["history"][-1]["action"], r["history"][-1]["kind"], r["history"][-1]["detail"]) == ("export:html", r["kind"], f"exported to {r['filename']} [{r['kind']}]") for r in done)
+    refused = exports.export_objects(objects, "png").collect()
+    assert all(r["refusal"] and len(r["history"]) == 1 for r in refused)
+
+
+def test_plugins_are_asked_on_import(spark, monkeypatch):
+    monkeypatch.setattr(plugins, "PLUGINS", {})
+    tables = plugins.model.FORMATS, plugins.READERS, plugins.model.EXPORTS
+    kept = [dict(t) for t in tables]
+    try:
+        plugins.register(plugins.ppm())
+        data = images.encode_ppm(creators.pattern("checker", 16, 16))
+        rows = spark.createDataFrame([("a.bin", "1", bytearray(data)), ("b.txt", "2", bytearray(b"plain words")), ("c.png", "3", bytearray(images.encode_png(creators.pattern("checker", 4, 4))))], "name string, path string, data binary")
+        got = {r["original_filename"]: (r["detected_format"], r["detection"]["method"], json.loads(r["content"]).get("width")) for r in files.import_files(rows).collect()}
+        assert got["a.bin"] == ("ppm", "plugin", 16) and got["b.txt"][0] == "txt" and got["c.png"][0] == "png"
+    finally:
+        for t, before in zip(tables, kept):
+            t.clear()
+            t.update(before)
+
+
 def test_plugin_and_edits(spark):
     from lodestone.operators.edits import set_text
     from lodestone.operators.graph import record
