@@ -30,7 +30,9 @@ from lodestone.llm.bpe import Encoder, slices, utf8, vocabulary
 from lodestone.llm.common import materialise
 
 #: Shards over which the rows of each size are ranked: one for so many rows of the table, up to a number.
-SHARD_ROWS, MOST_SHARDS = 2_000, 2_000
+SHARD_ROWS, MOST_SHARDS = 2_000, 256
+#: Rows in a file of a round's tables, about.
+FILE_ROWS = 50_000
 #: A round gives a gap several pieces of one size only up to this part of what is left for each gap, and of a sequence.
 SHARE = 8
 
@@ -100,10 +102,18 @@ def ranked(rows: DataFrame, size: str, order: list[str], count: int) -> DataFram
     shard: Column = F.pmod(F.xxhash64(*order), F.lit(shards))
     dealt = rows.withColumn("shard", shard)
     before = W.partitionBy(size).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = dealt.groupBy(size, "shard").count().select(size, "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    # A row for each size and shard: at most capacity times MOST_SHARDS of them, so one task numbers them and they are broadcast.
+    counts = dealt.groupBy(size, "shard").count().coalesce(1)
+    starts = counts.select(size, "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     own = W.partitionBy(size, "shard").orderBy(*order)
     sorted_rows = dealt.repartitionByRange(size, "shard").withColumn("nth", F.row_number().over(own) - 1)
-    return sorted_rows.join(starts, [size, "shard"]).withColumn("rank", F.col("nth") + F.col("first")).drop("shard", "nth", "first")
+    placed = sorted_rows.join(F.broadcast(starts), [size, "shard"]).withColumn("rank", F.col("nth") + F.col("first"))
+    return in_files(placed.drop("shard", "nth", "first"), count)
+
+
+def in_files(rows: DataFrame, count: int) -> DataFrame:
+    """As many partitions as ``count`` rows need files."""
+    return rows.coalesce(-(-max(1, count) // FILE_ROWS))
 
 
 def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -144,7 +154,8 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
         items = pieces.join(F.broadcast(plan), "length").filter((nth >= 0) & (nth < F.col("bundle") * F.col("bundles")))
         items = items.withColumn("place", F.col("place") + F.floor(nth / F.col("bundle")).cast("bigint")).withColumn("within", nth % F.col("bundle") * F.col("length"))
         met = items.join(places, "place")
-        placed.append(materialise(met.select(*cut.columns, "sequence_id", (F.col("used") + F.col("within")).alias("offset")), "placed"))
+        put = met.select(*cut.columns, "sequence_id", (F.col("used") + F.col("within")).alias("offset"))
+        placed.append(materialise(in_files(put, sum(bundle * n for _, bundle, n, _ in runs)), "placed"))
         for size, bundle, n, _ in runs:
             taken[size] += bundle * n
             left[size] -= bundle * n

@@ -194,10 +194,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
     """The rows of ``docs``, with all their columns, that quality_rules keeps (see there for the cases).
 
-    The counts are written beside the rows, so that texts are read once; thresholds read the counts alone.
+    Texts are counted once; the counts are written without them, thresholds and verdicts read
+    these alone, and a semi-join brings the rows that stay. Rows equal in id, text and lang share a verdict.
     """
+    ref = {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__hash": F.xxhash64(F.coalesce("text", F.lit("")), "doc_id", "lang")}
     stratum = F.coalesce("lang", F.lit("\x00none")).alias("stratum")
-    counted = materialise(features(docs, [F.struct(*docs.columns).alias("row"), "doc_id", stratum]), "quality")
+    counted = materialise(features(docs, [*(c.alias(n) for n, c in ref.items()), "doc_id", stratum]), "quality")
     held = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    cuts = thresholds(counted.drop("row").join(held, "doc_id").filter(~base_failed()), **risk)
-    return with_cuts(counted, cuts).filter(~base_failed() & (F.size(rejecting()) == 0)).select("row.*")
+    cuts = thresholds(counted.join(held, "doc_id").filter(~base_failed()), **risk)
+    kept = with_cuts(counted, cuts).filter(~base_failed() & (F.size(rejecting()) == 0)).select("__id", "__hash")
+    return docs.withColumns(ref).join(materialise(kept, "kept"), ["__id", "__hash"], "left_semi").drop("__id", "__hash")
