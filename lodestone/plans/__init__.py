@@ -4,14 +4,14 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from lodestone.plans import files, queries
+    from lodestone.plans import files, parsed, queries
 
-    del files
+    del files, parsed
     return dict(queries.QUERIES)
 
 
 def all_sql() -> dict:
-    from lodestone.plans import files, queries
+    from lodestone.plans import files, parsed, queries
 
-    del files
+    del files, parsed
     return dict(queries.SQL)

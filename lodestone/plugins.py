@@ -43,6 +43,13 @@ def register(plugin: FormatPlugin) -> None:
     model.EXPORTS.setdefault(name, [*plugin.exports, ("sfp", "LOSSLESS")])
 
 
+def unregister(name: str) -> None:
+    """Take a plugin's format out again; formats that are built in stay."""
+    if PLUGINS.pop(name, None):
+        for table in (model.FORMATS, READERS, model.EXPORTS):
+            table.pop(name, None)
+
+
 def load_folder(folder: str | None = None) -> list[str]:
     """Load the folder's modules in order ('_' in front: skipped); returns warnings of those that fail."""
     folder = folder or os.environ.get("LODESTONE_PLUGIN_DIR", "plugins")
