@@ -21,8 +21,11 @@ LOCAL_SHARED = "file:///tmp/checkpoints/lodestone"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or on a local master a local one where unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or LOCAL_SHARED).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
