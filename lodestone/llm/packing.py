@@ -93,6 +93,26 @@ def sweep(left: dict[int, int], room: dict[int, int], most: int) -> list[tuple[i
     return runs
 
 
+def met_sizes(runs: list[tuple[int, int, int, int]], before: dict[int, int], room: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(gap, low, high, took): which places among the gaps of a size each run takes; fewer rows than runs and sizes together.
+
+    ``before`` has the place of each size's first gap, ``room`` their number. Rows join by size, so no gap is held against every run.
+    """
+    out, sizes, at = [], sorted(before, key=before.__getitem__), 0
+    for length, bundle, n, place in runs:  # by rising place, as sweep gives them
+        while before[sizes[at]] + room[sizes[at]] <= place:
+            at += 1
+        low = place
+        while low < place + n:
+            gap = sizes[at]
+            high = min(place + n, before[gap] + room[gap])
+            out.append((gap, low, high, bundle * length))
+            if high == before[gap] + room[gap]:
+                at += 1
+            low = high
+    return out
+
+
 def ranked(rows: DataFrame, size: str, order: list[str], count: int) -> DataFrame:
     """Adds rank: the row's place (from 0) among the rows of its ``size``, by a range-sort and prefix sums.
 
@@ -160,8 +180,8 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
             taken[size] += bundle * n
             left[size] -= bundle * n
         left = {s: n for s, n in left.items() if n}
-        took = F.broadcast(plan.select((F.col("bundle") * F.col("length")).alias("took"), F.col("place").alias("low"), (F.col("place") + F.col("bundles")).alias("high")))
-        inside = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
+        took = F.broadcast(spark.createDataFrame(met_sizes(runs, before, room), "gap bigint, low bigint, high bigint, took bigint"))
+        inside = (places["gap"] == took["gap"]) & (places["place"] >= took["low"]) & (places["place"] < took["high"])
         shrunk = places.join(took, inside, "left").withColumn("used", F.col("used") + F.coalesce("took", F.lit(0)))
         gaps = shrunk.select("sequence_id", "used", (F.lit(capacity) - F.col("used")).alias("gap")).filter("gap > 0")
         room = by_size(gaps, "gap") if left else {}

@@ -279,7 +279,12 @@ def test_sweep_gives_each_bundle_a_gap():
         room = {rnd.randint(1, 50): rnd.randint(1, 40) for _ in range(12)}
         gaps = [g for g in sorted(room) for _ in range(room[g])]
         used = set()
-        for size, bundle, n, place in packing.sweep(left, room, 12):
+        runs = packing.sweep(left, room, 12)
+        before = {g: sum(n for x, n in room.items() if x < g) for g in room}
+        met = packing.met_sizes(runs, before, room)
+        assert len(met) <= len(runs) + len(room)
+        assert [(p, gap, took) for gap, low, high, took in met for p in range(low, high)] == [(p, gaps[p], b * s) for s, b, n, at in runs for p in range(at, at + n)]
+        for size, bundle, n, place in runs:
             assert bundle * n <= left[size] and not used & set(range(place, place + n))
             used |= set(range(place, place + n))
             assert all(gaps[p] >= bundle * size for p in range(place, place + n))
