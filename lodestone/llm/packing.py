@@ -9,20 +9,21 @@ successor are moved on by their rank (a piece's place is its own rank plus the
 greatest lead that the gaps too small for a smaller or equal piece have), so pieces and gaps meet
 in a join by place. The gaps shrink by what they took, and rounds repeat until no piece is left;
 sequences are opened when nothing fits. Where many pieces are left for each gap, pieces of one
-small size go several at a time. The driver sees only counts by size, at most
-``capacity`` of pieces and of gaps.
+small size go several at a time. The driver sees only the pieces' counts by size, at most
+``capacity``, and derives those of the gaps from the runs.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -119,6 +120,8 @@ def ranked(rows: DataFrame, size: str, order: list[str], count: int) -> DataFram
     Each size is split over shards by a hash of the row, so a size that holds most rows doesn't meet in one task.
     """
     shards = max(1, min(MOST_SHARDS, count // SHARD_ROWS))
+    if shards == 1:  # one shard a size: the row's number in it is its rank
+        return in_files(rows.repartitionByRange(size).withColumn("rank", F.row_number().over(W.partitionBy(size).orderBy(*order)) - 1), count)
     shard: Column = F.pmod(F.xxhash64(*order), F.lit(shards))
     dealt = rows.withColumn("shard", shard)
     before = W.partitionBy(size).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
@@ -131,6 +134,12 @@ def ranked(rows: DataFrame, size: str, order: list[str], count: int) -> DataFram
     return in_files(placed.drop("shard", "nth", "first"), count)
 
 
+def small_table(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """A table of whole numbers that the driver holds, as a local relation (no job and no Python worker reads it)."""
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: pa.array(c, type=pa.int64()) for n, c in zip(names, columns)}))
+
+
 def in_files(rows: DataFrame, count: int) -> DataFrame:
     """As many partitions as ``count`` rows need files."""
     return rows.coalesce(-(-max(1, count) // FILE_ROWS))
@@ -166,10 +175,10 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
             gaps, opened, room = gaps.unionByName(new), opened + more, room | {capacity: room.get(capacity, 0) + more}
             continue
         before = {g: sum(n for x, n in room.items() if x < g) for g in room}
-        firsts = spark.createDataFrame(list(before.items()), "gap bigint, first bigint")
+        firsts = small_table(spark, list(before.items()), ["gap", "first"])
         places = ranked(gaps, "gap", ["sequence_id"], sum(room.values())).join(F.broadcast(firsts), "gap").withColumn("place", F.col("first") + F.col("rank")).drop("first", "rank")
         places = materialise(places, "gaps")
-        plan = spark.createDataFrame([(*r, taken[r[0]]) for r in runs], "length bigint, bundle bigint, bundles bigint, place bigint, taken bigint")
+        plan = small_table(spark, [(*r, taken[r[0]]) for r in runs], ["length", "bundle", "bundles", "place", "taken"])
         nth = F.col("rank") - F.col("taken")
         items = pieces.join(F.broadcast(plan), "length").filter((nth >= 0) & (nth < F.col("bundle") * F.col("bundles")))
         items = items.withColumn("place", F.col("place") + F.floor(nth / F.col("bundle")).cast("bigint")).withColumn("within", nth % F.col("bundle") * F.col("length"))
@@ -180,11 +189,18 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
             taken[size] += bundle * n
             left[size] -= bundle * n
         left = {s: n for s, n in left.items() if n}
-        took = F.broadcast(spark.createDataFrame(met_sizes(runs, before, room), "gap bigint, low bigint, high bigint, took bigint"))
+        met_gaps = met_sizes(runs, before, room)
+        took = F.broadcast(small_table(spark, met_gaps, ["gap", "low", "high", "took"]))
         inside = (places["gap"] == took["gap"]) & (places["place"] >= took["low"]) & (places["place"] < took["high"])
         shrunk = places.join(took, inside, "left").withColumn("used", F.col("used") + F.coalesce("took", F.lit(0)))
-        gaps = shrunk.select("sequence_id", "used", (F.lit(capacity) - F.col("used")).alias("gap")).filter("gap > 0")
-        room = by_size(gaps, "gap") if left else {}
+        least = min(left, default=capacity + 1)
+        # A gap below the smallest piece that is left stays as it is. The runs tell the new sizes, so nothing is counted.
+        gaps = shrunk.select("sequence_id", "used", (F.lit(capacity) - F.col("used")).alias("gap")).filter(F.col("gap") >= least)
+        sizes = Counter(room)
+        for gap, low, high, width in met_gaps:
+            sizes[gap] -= high - low
+            sizes[gap - width] += high - low
+        room = {gap: n for gap, n in sizes.items() if n and gap >= least}
     every = placed[0]
     for more in placed[1:]:
         every = every.unionByName(more)
