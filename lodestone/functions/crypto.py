@@ -12,13 +12,16 @@ import base64
 import hashlib
 import json
 import secrets
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.sources.container import HEADER_SIZE, MAGIC, ContainerError, checked, chunk
+from lodestone.functions.arrow import once
+from lodestone.sources.container import HEADER_SIZE, MAGIC, ContainerError, checked
 
 # Fixed values.
 ITERATIONS, SALT, NONCE, AAD = 600_000, 16, 12, b"SFP-ENCR-v1|"
@@ -27,6 +30,7 @@ FRAME = T.StructType(
     [
         T.StructField("header", T.BinaryType()), T.StructField("encr", T.StringType()), T.StructField("error", T.StringType()),
         T.StructField("parts", T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("nth", T.IntegerType()), T.StructField("nonce", T.BinaryType())]))),
+        T.StructField("key", T.BinaryType()),
     ]
 )
 
@@ -41,56 +45,75 @@ def device_key() -> bytes:
     raise ValueError("device keys are only available on Windows")
 
 
-@F.pandas_udf(FRAME)
-def split_frame(data: pd.Series, base: pd.Series) -> pd.DataFrame:
+def framed(data: bytes | None, given: bytes | None) -> dict:
     """Header, ENCR note, chunks in order (payload chunks numbered, with their nonces), and what is wrong.
 
-    Nonces come from ``base``, or from the note where that is null.
+    Nonces come from ``given``, or from the note where that is null.
     """
-    rows = []
-    for d, given in zip(data, base):
-        try:
-            d = bytes(d or b"")
-            _, parts = checked(d)
-            encr = next((p.decode() for t, p in parts if t == b"ENCR"), None)
-            start = bytes(given) if given is not None else base64.b64decode(json.loads(encr).get("nonce") or "") if encr else bytes(NONCE)
-            if len(start) != NONCE:
-                raise ContainerError("the nonce is malformed, the file is damaged")
-            n, out = 0, []
-            for tag, payload in parts:
-                name = tag.decode("latin-1")
-                if name == "ENCR":
-                    continue
-                numbered = name in PAYLOADS and payload
-                nonce = (int.from_bytes(start, "big") ^ (n + 1)).to_bytes(NONCE, "big") if numbered else None
-                out.append({"tag": name, "payload": payload, "nth": n if numbered else None, "nonce": nonce})
-                n += bool(numbered)
-            rows.append((d[: HEADER_SIZE], encr, None, out))
-        except (ContainerError, ValueError) as error:
-            rows.append((None, None, str(error), []))
-    return pd.DataFrame(rows, columns=["header", "encr", "error", "parts"])
-
-
-@F.pandas_udf(T.BinaryType())
-def join_frame(header: pd.Series, encr: pd.Series, tags: pd.Series, payloads: pd.Series) -> pd.Series:
-    def one(head, note, names, bodies):
-        if head is None:
-            return None
-        out = bytes(head) + (chunk(b"ENCR", note.encode()) if note else b"")
-        out += b"".join(chunk(n.encode("latin-1"), bytes(b)) for n, b in zip(names, bodies))
-        return out + chunk(b"CKSM", hashlib.sha256(out).digest())
-
-    return pd.Series([one(*row) for row in zip(header, encr, tags, payloads)])
+    try:
+        data = data or b""
+        _, parts = checked(data)
+        encr = next((p.decode() for t, p in parts if t == b"ENCR"), None)
+        start = given if given is not None else base64.b64decode(json.loads(encr).get("nonce") or "") if encr else bytes(NONCE)
+        if len(start) != NONCE:
+            raise ContainerError("the nonce is malformed, the file is damaged")
+        n, out = 0, []
+        for tag, payload in parts:
+            name = tag.decode("latin-1")
+            if name == "ENCR":
+                continue
+            numbered = name in PAYLOADS and bool(payload)
+            nonce = (int.from_bytes(start, "big") ^ (n + 1)).to_bytes(NONCE, "big") if numbered else None
+            out.append({"tag": name, "payload": payload, "nth": n if numbered else None, "nonce": nonce})
+            n += numbered
+        return {"header": data[:HEADER_SIZE], "encr": encr, "error": None, "parts": out}
+    except (ContainerError, ValueError) as error:
+        return {"header": None, "encr": None, "error": str(error), "parts": []}
+
+
+def split_frame(password: str | None = None):
+    """container, base nonce -> ``framed``; with a password also the key of the note's salt, derived once a task."""
+    made = to_arrow_type(FRAME)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from lodestone.parsers import array_pieces
+
+        keys: dict[str, bytes] = {}
+
+        def key(encr: str | None) -> bytes | None:
+            note = json.loads(encr) if encr and password is not None else None
+            if not isinstance(note, dict) or note.get("mode") != "password" or (note.get("kdf") or "pbkdf2-sha256") != "pbkdf2-sha256" or note.get("salt") is None:
+                return None
+            salt = str(note["salt"])
+            if salt not in keys:
+                keys[salt] = password_key(password, base64.b64decode(salt))
+            return keys[salt]
+
+        for data, base in array_pieces(batches):
+            got = [framed(*row) for row in zip(data.to_pylist(), base.to_pylist())]
+            yield pa.array([g | {"key": key(g["encr"])} for g in got], made)
+
+    return once(run, FRAME)
+
+
+def _latin_chunk(tag, payload):
+    """A chunk as text, one character a byte."""
+    size = F.unhex(F.lpad(F.hex(F.length(payload)), 16, "0"))
+    return F.decode(F.concat(F.encode(tag, "ISO-8859-1"), size, payload), "ISO-8859-1")
 
 
 def _aad(p):
     return F.concat(F.lit(AAD), F.encode(p["tag"], "ISO-8859-1"), F.unhex(F.lpad(F.hex(p["nth"]), 8, "0")))
 
 
-def _whole(note):
-    """The container of ``header`` and ``bodies`` (tags as in f.parts), where there is no error."""
+def _whole(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """object_id, container of header and note (null: none), parts and bodies, where there is no error; error, and the columns ``keep``."""
     header = F.when(F.col("error").isNull(), F.col("f.header"))  # no header, no container
-    return join_frame(header, note, F.transform("f.parts", lambda p: p["tag"]), "bodies").alias("container")
+    noted = F.coalesce(_latin_chunk(F.lit("ENCR"), F.encode("note", "UTF-8")), F.lit(""))
+    chunks = F.array_join(F.zip_with("f.parts", "bodies", lambda p, body: _latin_chunk(p["tag"], body)), "")
+    out = rows.select("object_id", F.concat(header, F.encode(F.concat(noted, chunks), "ISO-8859-1")).alias("out"), "error", *keep)
+    seal = F.concat(F.lit(b"CKSM"), F.unhex(F.lit("0000000000000020")), F.unhex(F.sha2("out", 256)))
+    return out.select("object_id", F.concat("out", seal).alias("container"), "error", *keep)
 
 
 def encrypt_containers(rows: DataFrame, password: str, salt: bytes | None = None, nonce: bytes | None = None) -> DataFrame:
@@ -102,7 +125,7 @@ def encrypt_containers(rows: DataFrame, password: str, salt: bytes | None = None
     salt, nonce = salt or secrets.token_bytes(SALT), nonce or secrets.token_bytes(32)
     key = password_key(password, salt)
     base = F.substring(F.unhex(F.sha2(F.concat(F.lit(nonce), F.unhex(F.sha2("container", 256))), 256)), 1, NONCE)
-    framed = rows.select("object_id", split_frame("container", base).alias("f"), base.alias("base"))
+    framed = rows.select("object_id", split_frame()("container", base).alias("f"), base.alias("base"))
 
     def seal(p):
         sealed = F.aes_encrypt(p["payload"], F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), p["nonce"], _aad(p))
@@ -113,26 +136,22 @@ def encrypt_containers(rows: DataFrame, password: str, salt: bytes | None = None
     fixed = {"v": 1, "salt": base64.b64encode(salt).decode(), "mode": "password", "kdf": "pbkdf2-sha256", "kdf_params": {"iterations": ITERATIONS, "hash": "sha256"}}
     note = F.concat(F.lit(json.dumps(fixed)[:-1] + ', "nonce": "'), F.base64("base"), F.lit('", "chunks": '), F.to_json(tags), F.lit("}"))
     done = framed.select("object_id", "f", error.alias("error"), F.transform("f.parts", seal).alias("bodies"), note.alias("note"))
-    return done.select("object_id", _whole("note"), "error")
+    return _whole(done, [])
 
 
-def decrypt_containers(rows: DataFrame, password: str) -> DataFrame:
-    """object_id, container (plain), error of rows (object_id, container); containers of different salts may come together.
+def decrypt_containers(rows: DataFrame, password: str, keep: list[str] | None = None) -> DataFrame:
+    """object_id, container (plain), error and the columns ``keep`` of rows (object_id, container); containers of different salts may come together.
 
     Salt, derivation and nonce are those of each container's own note; a salt's key is
-    derived once a batch. Wrong passwords, changed chunks, chunks that the note lists but
+    derived once a task. Wrong passwords, changed chunks, chunks that the note lists but
     that are missing, and plain containers are told apart by their error. Rows are independent.
     """
 
-    @F.pandas_udf(T.BinaryType())
-    def key_of(salts: pd.Series) -> pd.Series:
-        keys = {s: password_key(password, base64.b64decode(s)) for s in salts.dropna().unique()}
-        return salts.map(keys.get)
-
+    keep = keep or []
     of = lambda field: F.get_json_object("f.encr", f"$.{field}")
-    framed = rows.select("object_id", split_frame("container", F.lit(None).cast("binary")).alias("f"))
+    framed = rows.select("object_id", split_frame(password)("container", F.lit(None).cast("binary")).alias("f"), *keep)
     usable = (of("mode") == "password") & (F.coalesce(of("kdf"), F.lit("pbkdf2-sha256")) == "pbkdf2-sha256")
-    keyed = framed.select("object_id", "f", usable.alias("usable"), of("kdf").alias("kdf"), of("mode").alias("mode"), of("chunks").alias("listed"), key_of(F.when(usable, of("salt"))).alias("key"))
+    keyed = framed.select("object_id", "f", usable.alias("usable"), of("kdf").alias("kdf"), of("mode").alias("mode"), of("chunks").alias("listed"), F.col("f.key").alias("key"), *keep)
 
     def open_one(p):
         opened = F.try_aes_decrypt(F.concat(p["nonce"], p["payload"]), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), _aad(p))
@@ -149,8 +168,8 @@ def decrypt_containers(rows: DataFrame, password: str) -> DataFrame:
         .when(F.exists("bodies", lambda b: b.isNull()), "wrong password, or the container was modified")
         .when((F.size(listed) > 0) & (listed != present), "the note lists other chunks than the container has, it was modified")
     )
-    done = opened.select("object_id", "f", "bodies", why.alias("error"), F.lit(None).cast("string").alias("note"))
-    return done.select("object_id", _whole("note"), "error")
+    done = opened.select("object_id", "f", "bodies", why.alias("error"), F.lit(None).cast("string").alias("note"), *keep)
+    return _whole(done, keep)
 
 
 def is_encrypted(container) -> "F.Column":

@@ -8,6 +8,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
+
+import pyarrow as pa
 
 from lodestone.model import FORMATS
 
@@ -36,6 +39,7 @@ def reader(*formats: str) -> Callable[[Reader], Reader]:
     return add
 
 
+@cache
 def load() -> dict[str, Reader]:
     from lodestone.parsers import archives, audio, binaries, containers, database, documents, images, meshes, structured, texts, video
 
@@ -57,21 +61,32 @@ def parse(data: bytes | None, name: str | None, fmt: str) -> Parsed:
     return out
 
 
-def to_json(value) -> str:
-    return json.dumps(value, ensure_ascii=False, default=str, allow_nan=False) if _finite(value) else json.dumps(value, ensure_ascii=False, default=str)
+# Encoders are built once: for small files that costs as much as the encoding.
+STRICT = json.JSONEncoder(ensure_ascii=False, default=str, allow_nan=False)
+LENIENT = json.JSONEncoder(ensure_ascii=False, default=str)
 
 
-def _finite(value) -> bool:
+def to_json(value) -> str:
     try:
-        json.dumps(value, allow_nan=False, default=str)
+        return STRICT.encode(value)
     except ValueError:
-        return False
-    return True
+        return LENIENT.encode(value)
+
 
+#: Bytes of files that are held as Python objects at once, about.
+PIECE_BYTES = 2 << 20
 
-def pieces(batches, most_bytes: int = 8 << 20):
+
+def pieces(batches, most_bytes: int = PIECE_BYTES):
     """Record batches cut so that none holds much more than ``most_bytes`` (one file may)."""
     for batch in batches:
         n = max(1, min(batch.num_rows, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)) + 1))
         for k in range(0, batch.num_rows, n):
             yield batch.slice(k, n)
+        del batch  # not held while the next one is read
+
+
+def array_pieces(batches, most_bytes: int = PIECE_BYTES):
+    """Tuples of arrays cut in the same way."""
+    for part in pieces((pa.RecordBatch.from_arrays(list(b), names=[str(i) for i in range(len(b))]) for b in batches), most_bytes):
+        yield part.columns

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import crypto
+from lodestone.functions.arrow import once
 from lodestone.operators import creators, exports, inspect, text, transforms
 from lodestone.plans.queries import docs, query, table
 from lodestone.sources import files
@@ -182,13 +186,13 @@ def _sealed_and_opened(some: DataFrame) -> DataFrame:
     """Salt and nonce are fixed here only so that the queries repeat."""
     salt, nonce = b"0123456789abcdef", b"n" * 32
     given = _files(some, "doc_id", F.encode("text", "UTF-8"), F.concat(F.lit("doc"), "doc_id", F.lit(".txt")))
-    plain = files.to_containers(files.import_files(given))
+    plain = files.to_containers(files.identify(given))
     sealed = crypto.encrypt_containers(plain, "secret", salt, nonce)
-    opened = files.from_containers(crypto.decrypt_containers(sealed, "secret"))
+    hidden = ~F.contains(F.decode("container", "ISO-8859-1"), F.lit("original_filename"))
+    told = sealed.select("object_id", "container", crypto.is_encrypted(F.col("container")).alias("sealed"), hidden.alias("hidden"))
+    opened = files.from_containers(crypto.decrypt_containers(told, "secret", keep=["sealed", "hidden"]), keep=["sealed", "hidden"])
     name = F.get_json_object("meta", "$.original_filename")
-    facts = sealed.select("object_id", crypto.is_encrypted(F.col("container")).alias("sealed"), (~F.contains(F.decode("container", "ISO-8859-1"), F.lit("original_filename"))).alias("hidden"))
-    got = opened.select(F.col("container_id").alias("object_id"), F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), F.sha2(F.coalesce("original_bytes", F.lit(b"")), 256).alias("checksum"))
-    return got.join(facts, "object_id").select("doc_id", "sealed", "hidden", "checksum")
+    return opened.select(F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), "sealed", "hidden", F.sha2(F.coalesce("original_bytes", F.lit(b"")), 256).alias("checksum"))
 
 
 @query("SELECT i AS id, true AS png, true AS bmp, true AS gif FROM range(24) r(i)")

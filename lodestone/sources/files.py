@@ -8,9 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone import plugins
 from lodestone.functions.detect import detect
+from lodestone.functions.arrow import once
 from lodestone.functions.scalar import extension, sha256_hex
 from lodestone.model import EXPORTS, FORMATS, LIMITS, object_id
 from lodestone.operators.graph import record
@@ -68,34 +71,33 @@ def identify(files: DataFrame) -> DataFrame:
     )
 
 
-def parse_objects(objects: DataFrame, column: str = "original_bytes") -> DataFrame:
-    """objects with content (JSON), warnings, support_level, blobs and kids: the Arrow stage, a batch of few files at a time."""
-
+def parsed_udf():
+    """bytes, name, format -> content (JSON), warnings, support_level, blobs, kids; few files at a time."""
     shipped = list(plugins.PLUGINS.values())
+    schema = T.StructType.fromDDL(CONTENT)
+    made = to_arrow_type(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lodestone.parsers import parse, pieces, to_json
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from lodestone.parsers import array_pieces, parse, to_json
 
         for plugin in shipped:
             plugins.register(plugin)
-
-        kid = pa.struct([("name", pa.string()), ("data", pa.binary()), ("relation", pa.string())])
-        for part in pieces(batches):
-            keys = [n for n in part.schema.names if not n.startswith("__")]
-            got = [parse(*row) for row in zip(*(part.column(c).to_pylist() for c in ("__data", "__name", "__format")))]
-            columns = [part.column(c) for c in keys] + [
-                pa.array([to_json(g.content) for g in got], pa.string()), pa.array([g.warnings for g in got], pa.list_(pa.string())), pa.array([g.support for g in got], pa.string()),
-                pa.array([list(g.blobs.items()) for g in got], pa.map_(pa.string(), pa.binary())),
-                pa.array([[{"name": n, "data": d, "relation": r} for n, d, r in g.children] for g in got], pa.list_(kid)),
+        for part in array_pieces(batches):
+            got = (parse(*row) for row in zip(*(c.to_pylist() for c in part)))
+            rows = [
+                {"content": to_json(g.content), "warnings": g.warnings, "support_level": g.support, "blobs": list(g.blobs.items()), "kids": [{"name": n, "data": d, "relation": r} for n, d, r in g.children]}
+                for g in got
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "content", "warnings", "support_level", "blobs", "kids"])
+            yield pa.array(rows, made)
+
+    return once(run, schema)
 
+
+def parse_objects(objects: DataFrame, column: str = "original_bytes") -> DataFrame:
+    """objects with content (JSON), warnings, support_level, blobs and kids: the Arrow stage. Only what the readers need goes to Python."""
     rest = objects.drop("support_level", "content", "warnings", "blobs", "kids")
-    given = rest.select("*", F.col(column).alias("__data"), F.col("original_filename").alias("__name"), F.col("detected_format").alias("__format"))
-    schema = rest.schema
-    for f in rest.limit(0).selectExpr("'' AS content", "array('') AS warnings", "'' AS support_level", "map('', cast('' AS binary)) AS blobs", "array(struct('' AS name, cast('' AS binary) AS data, '' AS relation)) AS kids").schema:
-        schema = schema.add(f.name, f.dataType, True)
-    return given.mapInArrow(run, schema)
+    done = rest.withColumn("__parsed", parsed_udf()(F.col(column), F.col("original_filename"), F.col("detected_format")))
+    return done.select(*rest.columns, *(F.col(f"__parsed.{c}").alias(c) for c in ("content", "warnings", "support_level", "blobs", "kids")))
 
 
 def import_files(files: DataFrame) -> DataFrame:
@@ -115,10 +117,13 @@ def extract_archives(objects: DataFrame, limit: int = 200) -> tuple[DataFrame, D
     """Entries of zip, tar and gzip objects as files (name, path, data, src_id, ordinal) — ready for ``import_files`` — and warnings by object."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lodestone.parsers import pieces
         from lodestone.parsers.archives import extract
 
-        for batch in batches:
+        for batch in pieces(batches):
             for key, data, fmt in zip(*(batch.column(c).to_pylist() for c in ("object_id", "original_bytes", "detected_format"))):
+                if fmt not in ARCHIVES:
+                    continue
                 try:
                     found, warnings = extract(data, fmt, limit)
                 except Exception as error:
@@ -127,55 +132,72 @@ def extract_archives(objects: DataFrame, limit: int = 200) -> tuple[DataFrame, D
                 types = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["src_id", "ordinal", "path", "data", "warning"])
 
-    archives = objects.filter(F.col("detected_format").isin("zip", "tar", "gzip")).select("object_id", "original_bytes", "detected_format")
+    ARCHIVES = ("zip", "tar", "gzip")
+    # Told apart in the stage: a filter would have every file detected twice.
+    archives = objects.select("object_id", F.when(F.col("detected_format").isin(*ARCHIVES), F.col("original_bytes")).alias("original_bytes"), "detected_format")
     out = archives.mapInArrow(run, "src_id string, ordinal int, path string, data binary, warning string")
     files = out.filter("warning IS NULL").select("src_id", "ordinal", F.substring_index("path", "/", -1).alias("name"), "path", "data")
     return files, out.filter("warning IS NOT NULL").select(F.col("src_id").alias("object_id"), "warning")
 
 
 def to_containers(objects: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """object_id, container and the columns ``keep``: each object with its history and bytes saved as a container."""
+    """object_id, container and the columns ``keep``: each object with its history and bytes saved as a container.
+
+    Objects that have no column ``content`` yet are parsed in the same Python pass.
+    """
     keep = keep or []
+    unread, shipped = "content" not in objects.columns, list(plugins.PLUGINS.values())
+    meta = ["object_id", "object_type", "original_filename", "original_extension", "detected_format", "mime", "size", "checksum", "support_level"]
+    needs = [*meta, "history", "content", "original_bytes", "blobs"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        from lodestone.parsers import array_pieces, parse, to_json
         from lodestone.sources.container import Node, dumps
 
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                meta = {k: row[k] for k in ("object_id", "object_type", "original_filename", "original_extension", "detected_format", "mime", "size", "checksum", "support_level")}
-                history = [{k: v for k, v in h.items() if k != "ts"} for h in row["history"] or []]
-                out.append(dumps(Node(meta, json.loads(row["content"] or "{}"), history, [], row["original_bytes"], dict(row["blobs"] or []))))
-            yield pa.RecordBatch.from_arrays([batch.column("object_id"), pa.array(out, pa.binary()), *(batch.column(c) for c in keep)], names=["object_id", "container", *keep])
-
-    needs = ["object_id", "object_type", "original_filename", "original_extension", "detected_format", "mime", "size", "checksum", "support_level", "history", "content", "original_bytes", "blobs"]
-    have = objects.select(*(c if c in objects.columns else F.lit(None).cast("map<string, binary>" if c == "blobs" else "string").alias(c) for c in needs))
-    schema = have.select("object_id").schema.add("container", "binary")
-    for c in keep:
-        schema = schema.add(have.schema[c])
-    return have.mapInArrow(run, schema)
+        for plugin in shipped:
+            plugins.register(plugin)
+
+        def one(row: dict) -> bytes:
+            if unread:
+                got = parse(row["original_bytes"], row["original_filename"], row["detected_format"])
+                row |= {"content": to_json(got.content), "blobs": got.blobs, "support_level": got.support}
+            history = [{k: v for k, v in h.items() if k != "ts"} for h in row["history"] or []]
+            return dumps(Node({k: row[k] for k in meta}, json.loads(row["content"] or "{}"), history, [], row["original_bytes"], dict(row["blobs"] or [])))
+
+        for part in array_pieces(batches):
+            rows = zip(*(c.to_pylist() for c in part))
+            yield pa.array([one(dict(zip(needs, row))) for row in rows], pa.binary())
 
+    given = [F.col(c) if c in objects.columns else F.lit(None).cast("map<string, binary>" if c == "blobs" else "string") for c in needs]
+    key = given[0].alias("object_id")
+    return objects.select(key, once(run, T.BinaryType())(*given).alias("container"), *keep)
 
-def from_containers(rows: DataFrame, column: str = "container") -> DataFrame:
-    """container_id, position, depth, parent_id, object_id, meta and content (JSON), original_bytes, steps, unknown, error of every object inside."""
+
+def from_containers(rows: DataFrame, column: str = "container", keep: list[str] | None = None) -> DataFrame:
+    """container_id, position, depth, parent_id, object_id, meta and content (JSON), original_bytes, steps, unknown, error of every object inside, and the columns ``keep``."""
+    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lodestone.parsers import pieces
         from lodestone.sources.container import loads, walk
 
         types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.string())
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
-            for key, data in zip(batch.column("object_id").to_pylist(), batch.column(column).to_pylist()):
+            of: list[int] = []
+            for at, (key, data) in enumerate(zip(batch.column("object_id").to_pylist(), batch.column(column).to_pylist())):
                 try:
                     for n, (node, depth, parent) in enumerate(walk(loads(data or b""))):
                         meta, content = (json.dumps(x, ensure_ascii=False) for x in (node.meta, node.content))
                         out.append((key, n, depth, parent, node.meta.get("object_id"), meta, content, node.original, len(node.history), node.unknown, None))
                 except ValueError as error:
                     out.append((key, 0, 0, None, None, None, None, None, 0, [], str(error)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=NAMES)
+                of += [at] * (len(out) - len(of))
+            kept = [batch.column(c).take(pa.array(of, pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], t) for k, t in enumerate(types)), *kept], names=[*NAMES, *keep])
 
     NAMES = ["container_id", "position", "depth", "parent_id", "object_id", "meta", "content", "original_bytes", "steps", "unknown", "error"]
-    schema = "container_id string, position int, depth int, parent_id string, object_id string, meta string, content string, original_bytes binary, steps int, unknown array<string>, error string"
-    return rows.select("object_id", column).mapInArrow(run, schema)
-
-
+    schema = T.StructType.fromDDL("container_id string, position int, depth int, parent_id string, object_id string, meta string, content string, original_bytes binary, steps int, unknown array<string>, error string")
+    for c in keep:
+        schema = schema.add(rows.schema[c])
+    return rows.select("object_id", column, *keep).mapInArrow(run, schema)
