@@ -164,7 +164,7 @@ def zip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS checksum, 1 AS steps FROM documents")
 def sfp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents saved as containers and loaded again: bytes and history survive."""
-    saved = files.to_containers(files.import_files(_documents(spark, sf_dir)))
+    saved = files.to_containers(files.identify(_documents(spark, sf_dir)))
     back = files.from_containers(saved)
     name = F.get_json_object("meta", "$.original_filename")
     return back.select(F.regexp_extract(name, r"(\d+)", 1).cast("bigint").alias("doc_id"), F.sha2(F.coalesce("original_bytes", F.lit(b"")), 256).alias("checksum"), "steps")
