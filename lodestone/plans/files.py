@@ -245,18 +245,18 @@ def exe_static_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sfp_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each document's container (OBYT where bytes are preserved), the last of them the checksum."""
 
-    @F.pandas_udf("n int, last string")
-    def listed(data: pd.Series) -> pd.DataFrame:
+    def listed(batches: Iterator[tuple[pa.Array]]) -> Iterator[pa.Array]:
+        from lodestone.parsers import array_pieces
         from lodestone.sources.container import describe
 
-        got = [describe(bytes(d)) for d in data]
-        return pd.DataFrame([(sum(c["tag"] != "BLOB" for c in g) - 1, g[-1]["tag"]) for g in got], columns=["n", "last"])
+        for (data,) in array_pieces((b,) for b in batches):
+            got = [describe(d) for d in data.to_pylist()]
+            yield pa.array([{"n": sum(c["tag"] != "BLOB" for c in g) - 1, "last": g[-1]["tag"]} for g in got], pa.struct([("n", pa.int32()), ("last", pa.string())]))
 
     given = docs(spark, sf_dir).filter("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data"))
-    objects = files.import_files(given)
-    keys = objects.select("object_id", F.regexp_extract("original_filename", r"(\d+)", 1).cast("bigint").alias("doc_id"))
-    saved = files.to_containers(objects).select("object_id", listed("container").alias("c"))
-    return saved.join(keys, "object_id").select("doc_id", F.col("c.n").alias("chunks"), (F.col("c.last") == "CKSM").alias("sealed"))
+    saved = files.to_containers(files.identify(given), keep=["original_filename"])
+    told = saved.select(F.regexp_extract("original_filename", r"(\d+)", 1).cast("bigint").alias("doc_id"), once(listed, T.StructType.fromDDL("n int, last string"))("container").alias("c"))
+    return told.select("doc_id", F.col("c.n").alias("chunks"), (F.col("c.last") == "CKSM").alias("sealed"))
 
 
 @query("""SELECT r_regionkey, 'csv' AS detected, 2 AS columns, 1 AS rows FROM region""")
