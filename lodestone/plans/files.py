@@ -144,19 +144,15 @@ def inspect_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id::VARCHAR AS path, sha256(coalesce(text, '')) AS checksum FROM documents")
 def zip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document packed into an archive (zip, tar or tar.gz by turns), extracted and imported again."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from lodestone.parsers import array_pieces
         from lodestone.parsers.archives import create
 
-        for batch in batches:
-            made = [create([(f"doc/{k}", (t or "").encode())], ("zip", "tar", "tar.gz")[k % 3]) for k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
-            names = [f"{k}.{('zip', 'tar', 'tar.gz')[k % 3]}" for k in batch.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names), pa.array(made, pa.binary())], names=["name", "path", "data"])
+        for keys, texts in array_pieces(batches):
+            yield pa.array([create([(f"doc/{k}", (t or "").encode())], ("zip", "tar", "tar.gz")[k % 3]) for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
 
-    packed = docs(spark, sf_dir).select("doc_id", "text").mapInArrow(pack, "name string, path string, data binary")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.get(F.array(*map(F.lit, ("zip", "tar", "tar.gz"))), F.pmod("doc_id", F.lit(3)).cast("int")))
+    packed = docs(spark, sf_dir).select(name.alias("name"), name.alias("path"), once(pack, T.BinaryType())("doc_id", "text").alias("data"))
     inner, _ = files.extract_archives(files.identify(packed))
     return inner.select(F.substring_index("path", "/", -1).alias("path"), F.sha2("data", 256).alias("checksum"))
 
